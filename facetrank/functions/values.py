@@ -82,8 +82,10 @@ def parse_date(text: str) -> float | None:
     """Epoch seconds of a query value, or None."""
     for shape, pattern in _PYTHON_DATES:
         if re.fullmatch(shape, text.strip()):
+            # An offset of hours only gets its minutes.
+            full = re.sub(r"([+-]\d\d)$", r"\g<1>00", text.strip()) if pattern.endswith("%z") else text.strip()
             try:
-                when = datetime.strptime(text.strip(), pattern)
+                when = datetime.strptime(full, pattern)
             except ValueError:
                 continue
             if pattern == "%H:%M:%S":
