@@ -140,6 +140,19 @@ def stored(rows: DataFrame, metrics: Sequence[Metric], path: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def range_scale(rows: DataFrame, metric: Metric) -> float:
+    """Another scale: the widest range of the attribute's pivot distances."""
+    ranges = rows.agg(*(F.max(c) - F.min(c) for c in metric.columns)).first()
+    return max((r for r in ranges if r), default=1.0)
+
+
+def neighbour_scale(rows: DataFrame, metric: Metric, value: Sequence[float], k: int) -> float:
+    """Another scale: the distance of the k-th nearest row."""
+    d = measures.metric(metric.metric)(F.col(metric.name), _vector(value)).alias("d")
+    row = rows.select(d).where("d is not null").orderBy("d").limit(k).agg(F.max("d")).first()
+    return row[0] or 1.0
+
+
 @dataclass(frozen=True)
 class Wanted:
     """A query on one indexed attribute."""

@@ -113,6 +113,32 @@ def automatic_weight(scores: DataFrame, k: int) -> Column:
     return ordered.agg(value).scalar()
 
 
+def score_statistics(entities: DataFrame, p: Prepared) -> DataFrame:
+    """(name, n, min, max, avg, stdev) of the scores in each attribute's list."""
+    parts = [
+        listed(entities, c, p.length).select(F.lit(c.name).alias("name"), p.similarity(j, F.col("d")).alias("s")) for j, c in enumerate(p.criteria)
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionAll(part)
+    return rows.groupBy("name").agg(
+        F.count("*").alias("n"), F.min("s").alias("min"), F.max("s").alias("max"), F.avg("s").alias("avg"), F.stddev_samp("s").alias("stdev")
+    )
+
+
+def deviation_weights(statistics: DataFrame) -> DataFrame:
+    """(name, weight): each attribute's standard deviation of scores as a share of their sum."""
+    return statistics.select("name", (F.col("stdev") / statistics.agg(F.sum("stdev")).scalar()).alias("weight"))
+
+
+def rescored(found: DataFrame, p: Prepared) -> DataFrame:
+    """Results of a list algorithm with their exact scores as column `exact_score`."""
+    score = F.lit(0.0)
+    for i in range(len(p.weights[0])):
+        score = F.when(F.col("combo") == i, _mean(p, i, lambda j: F.coalesce(F.col(f"s{j}"), F.lit(0.0)))).otherwise(score)
+    return found.withColumn("exact_score", score)
+
+
 def _combinations(criteria: Sequence[Criterion]) -> int:
     counts = {len(c.weights) for c in criteria if c.weights and len(c.weights) > 1}
     if len(counts) > 1:

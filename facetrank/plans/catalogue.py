@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from facetrank.functions import measures, values
 from facetrank.functions.runtime import table
 from facetrank.functions.text import qgrams
-from facetrank.operators import analytics, pivot, ranking
+from facetrank.operators import analytics, pivot, points, ranking
 from facetrank.operators.normalize import normalized
 from facetrank.operators.ranking import Criterion
 from facetrank.operators.vectors import keyword_vectors
@@ -486,6 +486,34 @@ def filter_json(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").where(rest.json_filter(condition)).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
+def score_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores in the attributes' lists, and the weights by their deviations."""
+    one = RANKED["ta_two"]
+    entities = one.rows(spark, folder)
+    stats = ranking.score_statistics(entities, ranking.prepare(entities, [f.criterion() for f in one.facets], one.k))
+    both = stats.join(ranking.deviation_weights(stats), "name")
+    return both.select("name", "n", *(F.round(c, 6).alias(c) for c in ("min", "max", "avg", "stdev", "weight")))
+
+
+def nra_rescored(spark: SparkSession, folder: str) -> DataFrame:
+    found, prepared = RANKED["nra"].run(spark, folder)
+    return ranking.rescored(found, prepared).select("rank", "id", F.round("score", 6).alias("score"), F.round("exact_score", 6).alias("exact_score"))
+
+
+def _part_points(spark: SparkSession, folder: str) -> DataFrame:
+    place = F.struct(F.col("p_retailprice").cast("double").alias("x"), F.col("p_size").cast("double").alias("y"))
+    return table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("id"), place.alias("place"))
+
+
+def points_in_box(spark: SparkSession, folder: str) -> DataFrame:
+    return points.in_box(_part_points(spark, folder), "place", (1000, 10), (1200, 20)).select("id")
+
+
+def points_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    near = points.nearest(_part_points(spark, folder), "place", (1100.0, 30.0), 25.0, 40)
+    return near.select("id", F.round("distance", 6).alias("distance"))
+
+
 NEWS = {
     "sources": [{"name": "files", "type": "parquet", "directory": ""}],
     "search": [
@@ -542,7 +570,7 @@ def news_pivot(spark: SparkSession, folder: str) -> DataFrame:
 _PLAIN = (
     spatial_haversine, list_prefix, sim_matrix, sql_q1, sql_between_filter, json_filter, pivot_embed, pivot_search, pivot_search_bounded,
     pivot_auto, word2vec, doc_similarity, keyword_freq, keyword_share, rank_align, rank_compare, catalog, bounding_box, histogram, qgram_sets,
-    number_statistics, filter_json, news_threshold, news_pivot,
+    number_statistics, filter_json, score_stats, nra_rescored, points_in_box, points_nearest, news_threshold, news_pivot,
 )
 
 QUERIES: dict[str, Query] = RANKED | {f.__name__: f for f in _PLAIN}
@@ -602,6 +630,21 @@ t as (
   from z x join z y on x.id < y.id
 )
 select round(corr(a, b), 6) pearson, round(corr(ra, rb), 6) spearman, round(any_value(kendall), 6) kendall from r, t""",
+    "score_stats": f"""
+with {RANKED["ta_two"].sql().replace("with ", "", 1).rsplit(chr(10) + "select ", 1)[0]},
+x as (
+  select 'price' as name, case when d0 = 0 then 1 else exp(-0.05 * d0 / (select c from c0)) end s from l0
+  union all select 'day', case when d1 = 0 then 1 else exp(-0.05 * d1 / (select c from c1)) end from l1
+),
+y as (select name, count(*) n, min(s) a, max(s) b, avg(s) m, stddev_samp(s) sd from x group by name)
+select name, n, round(a, 6) "min", round(b, 6) "max", round(m, 6) "avg", round(sd, 6) stdev, round(sd / (select sum(sd) from y), 6) weight from y""",
+    "nra_rescored": f"""
+select rank, id, score, round((0.8 * price_score + 0.4 * day_score) / (0.8 + 0.4), 6) exact_score
+from ({RANKED["nra"].sql().replace("round(s0, 6)", "s0").replace("round(s1, 6)", "s1")})""",
+    "points_in_box": "select p_partkey::varchar id from part where p_retailprice between 1000 and 1200 and p_size between 10 and 20",
+    "points_nearest": """
+select p_partkey::varchar id, round(sqrt((p_retailprice - 1100) ** 2 + (p_size - 30) ** 2), 6) distance from part
+where sqrt((p_retailprice - 1100) ** 2 + (p_size - 30) ** 2) <= 25 order by sqrt((p_retailprice - 1100) ** 2 + (p_size - 30) ** 2), id limit 40""",
     "histogram": """
 select case when o_totalprice < 0 then 0 when o_totalprice >= 500000 then 11 else floor(o_totalprice / 50000) + 1 end::bigint bucket, count(*) n
 from orders where o_totalprice is not null group by 1""",
