@@ -55,7 +55,7 @@ def prefixes(hashes: np.ndarray, starts: np.ndarray, trees: int, depth: int, see
 
 
 def _posts(sets: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
-    """(prefix, rep): one row a set and tree. The tree's number is part of the prefix's hash."""
+    """(prefix, h): one row a set and tree, two numbers wide. The tree's number is part of the prefix's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,10 +66,10 @@ def _posts(sets: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
             starts = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))[:-1]]).astype(np.int64)
             keys = prefixes(flat, starts, trees, depth, seed)
             for t in range(trees):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, t].view(np.int64)), batch.column(0)], names=["prefix", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, t].view(np.int64)), batch.column(0)], names=["prefix", "h"])
 
-    hashed = sets.select("rep", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
-    return wide(hashed, "rep").mapInArrow(run, "prefix long, rep string")
+    hashed = sets.select("h", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+    return hashed.mapInArrow(run, "prefix long, h long")
 
 
 def similar_sets(sets: DataFrame, similarity: float, recall: float = RECALL, depth: int = DEPTH, neighbourhood: int = NEIGHBOURHOOD) -> DataFrame:
@@ -77,49 +77,47 @@ def similar_sets(sets: DataFrame, similarity: float, recall: float = RECALL, dep
 
     sets: rep STRING, tokens ARRAY<STRING> (distinct, not empty), each set once.
     """
-    left = sets
+    # What goes through the trees is a number: a hash of rep, whose last byte is the set's size (255 and more alike).
+    # Should two hashes be equal, both their sets are verified.
+    size = F.least(F.size("tokens"), F.lit(255)).cast("bigint")
+    sets = sets.withColumn("h", F.shiftleft(F.xxhash64("rep"), 8).bitwiseOR(size))
+    left = wide(sets, "h")
     found: DataFrame | None = None
     while True:
         last = depth >= DEEPEST
-        posts = cut(_posts(left, trees_for(similarity, depth, recall), depth, seed=depth))
+        # One shuffle of the posts serves their count and the selection of those that meet others, about a tenth.
+        posts = wide(_posts(left, trees_for(similarity, depth, recall), depth, seed=depth), "prefix")
         shared = posts.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
-        open_ = shared if last else shared.where(F.col("n") <= neighbourhood)
-        # Most prefixes belong to one set only; what is left is small against the posts, and gets the sets' tokens.
-        meeting = posts.join(open_.select("prefix"), "prefix").join(
-            sets.select("rep", F.size("tokens").alias("size")), "rep"
-        )
-        meeting = cut(meeting)
-        a, b = (meeting.selectExpr("prefix", f"rep rep_{s}", f"size size_{s}") for s in "ab")
-        pairs = (
-            a.join(b, "prefix")
-            .where("rep_a < rep_b")
-            .where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9)
-            .select("rep_a", "rep_b")
-        )
+        meeting = cut(posts.join(shared.hint("merge"), "prefix"))
+        near = meeting if last else meeting.where(F.col("n") <= neighbourhood)
+        a, b = (near.selectExpr("prefix", f"h h_{s}", f"h & 255 size_{s}") for s in "ab")
+        fitting = F.least("size_a", "size_b") >= F.least(F.greatest("size_a", "size_b"), F.lit(254)) * similarity - 1e-9
+        pairs = a.join(b, "prefix").where("h_a < h_b").where(fitting).select("h_a", "h_b")
         found = pairs if found is None else found.unionByName(pairs)
         if last:
             break
-        crowded = shared.where(F.col("n") > neighbourhood)
+        crowded = meeting.where(F.col("n") > neighbourhood).select("h").distinct()
         if crowded.isEmpty():
             break
-        again = posts.join(crowded.select("prefix"), "prefix").select("rep").distinct()
-        left = cut(left.join(again, "rep", "left_semi"))
+        left = cut(left.join(crowded, "h", "left_semi"))
         depth += 1
-    ta, tb = (sets.selectExpr(f"rep rep_{s}", f"tokens tokens_{s}") for s in "ab")
+    x, y = (sets.selectExpr(f"h h_{s}", f"rep rep_{s}", f"tokens tokens_{s}") for s in "ab")
+    ordered = F.col("rep_a") < F.col("rep_b")
+    pick = lambda name, s, t: F.when(ordered, F.col(f"{name}_{s}")).otherwise(F.col(f"{name}_{t}"))
     verified = (
         found.distinct()
-        .join(ta, "rep_a")
-        .join(tb, "rep_b")
-        .withColumns(
-            {
-                "common": F.size(F.array_intersect("tokens_a", "tokens_b")),
-                "size_a": F.size("tokens_a"),
-                "size_b": F.size("tokens_b"),
-            }
+        .join(x, "h_a")
+        .join(y, "h_b")
+        .select(
+            pick("rep", "a", "b").alias("rep_a"),
+            pick("rep", "b", "a").alias("rep_b"),
+            F.size(F.array_intersect("tokens_a", "tokens_b")).alias("common"),
+            F.size(pick("tokens", "a", "b")).alias("size_a"),
+            F.size(pick("tokens", "b", "a")).alias("size_b"),
         )
     )
     union = F.col("size_a") + F.col("size_b") - F.col("common")
-    return verified.where(F.col("common") >= union * similarity - 1e-9).select("rep_a", "rep_b", "common", "size_a", "size_b")
+    return verified.where(F.col("common") >= union * similarity - 1e-9)
 
 
 def sets_of(records: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
