@@ -81,6 +81,8 @@ def similar_sets(sets: DataFrame, similarity: float, recall: float = RECALL, dep
     # Should two hashes be equal, both their sets are verified.
     size = F.least(F.size("tokens"), F.lit(255)).cast("bigint")
     sets = sets.withColumn("h", F.shiftleft(F.xxhash64("rep"), 8).bitwiseOR(size))
+    # One bit of 64 for each token. A bit that only one of two sets has is a token that the other lacks.
+    bits = sets.select("h", F.expr("aggregate(tokens, 0L, (s, t) -> s | shiftleft(1L, cast(pmod(xxhash64(t), 64L) as int)))").alias("bits"))
     left = wide(sets, "h")
     found: DataFrame | None = None
     while True:
@@ -89,9 +91,11 @@ def similar_sets(sets: DataFrame, similarity: float, recall: float = RECALL, dep
         posts = wide(_posts(left, trees_for(similarity, depth, recall), depth, seed=depth), "prefix")
         shared = posts.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
         meeting = cut(posts.join(shared.hint("merge"), "prefix"))
-        near = meeting if last else meeting.where(F.col("n") <= neighbourhood)
-        a, b = (near.selectExpr("prefix", f"h h_{s}", f"h & 255 size_{s}") for s in "ab")
-        fitting = F.least("size_a", "size_b") >= F.least(F.greatest("size_a", "size_b"), F.lit(254)) * similarity - 1e-9
+        near = (meeting if last else meeting.where(F.col("n") <= neighbourhood)).join(bits, "h")
+        a, b = (near.selectExpr("prefix", f"h h_{s}", f"h & 255 size_{s}", f"bits bits_{s}") for s in "ab")
+        # The most tokens that can be common, by sizes and bits; sizes of 255 may be more and are let through.
+        most = F.expr("least(size_a - bit_count(bits_a & ~bits_b), size_b - bit_count(bits_b & ~bits_a))")
+        fitting = (F.greatest("size_a", "size_b") == 255) | (most * (1 + similarity) >= (F.col("size_a") + F.col("size_b")) * similarity - 1e-9)
         pairs = a.join(b, "prefix").where("h_a < h_b").where(fitting).select("h_a", "h_b")
         found = pairs if found is None else found.unionByName(pairs)
         if last:
