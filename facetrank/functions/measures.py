@@ -34,9 +34,14 @@ def haversine(a: Column, b: Column, axis_order: str = "lon_lat") -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Sets: 1 - |common| / |either|; two empty sets are at distance 0."""
-    either = F.size(F.array_union(a, b))
-    both = a.isNotNull() & b.isNotNull()
-    return F.when(both & (either > 0), 1 - F.size(F.array_intersect(a, b)) / either).when(both, F.lit(0.0))
+    def of(x: Column, y: Column) -> Column:
+        common = F.size(F.array_intersect(x, y))
+        either = F.size(F.array_union(x, y))
+        return F.when(either > 0, 1 - common / either).otherwise(0.0)
+
+    # Each operand is bound once: it may itself be the cutting of a long text into tokens.
+    bound = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: F.when(s["a"].isNotNull() & s["b"].isNotNull(), of(s["a"], s["b"])))
+    return F.get(bound, 0)
 
 
 def _differences(a: Column, b: Column, each: Callable[[Column], Column]) -> Column:

@@ -8,6 +8,7 @@ reach the files. The k nearest rows by weighted distance are scored by similarit
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -49,7 +50,9 @@ def sample_of(rows: DataFrame, column: str, size: int = SAMPLE, seed: int = 0) -
     """The vectors that come first by a hash of the id: a bounded sample that any run repeats."""
     some = rows.where(F.col(column).isNotNull()).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(size)
     values = [r[0] for r in some.select(column).collect()]
-    return np.array(values, dtype=float) if values else np.empty((0, 1))
+    # Vectors of another length than most have no distance to them.
+    usual = Counter(map(len, values)).most_common(1)[0][0] if values else 1
+    return np.array([v for v in values if len(v) == usual], dtype=float).reshape(-1, usual)
 
 
 def typical_gap(sample: np.ndarray, metric: str) -> float:

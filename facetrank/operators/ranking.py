@@ -66,9 +66,6 @@ class Criterion:
             return measures.jaccard(qgrams(a, self.qgram), qgrams(b, self.qgram))
         return measures.metric(self.metric)(a, b)
 
-    def distance(self) -> Column:
-        return self.between(self.value, self.literal())
-
 
 def resolved(entities: DataFrame, criterion: Criterion) -> Criterion:
     """A criterion whose query value `max` is replaced by the greatest value there is."""
@@ -77,10 +74,14 @@ def resolved(entities: DataFrame, criterion: Criterion) -> Criterion:
     return criterion
 
 
+def distances(entities: DataFrame, criterion: Criterion) -> DataFrame:
+    """(id, d). The value is a projection of its own, so that what it costs is paid once a row."""
+    return entities.select("id", criterion.value.alias("v")).select("id", criterion.between(F.col("v"), criterion.literal()).alias("d"))
+
+
 def listed(entities: DataFrame, criterion: Criterion, length: int) -> DataFrame:
     """(id, d): the `length` entities nearest by one attribute. Sets without a common element aren't listed."""
-    d = criterion.distance().alias("d")
-    near = entities.select("id", d).where("d is not null and not isnan(d)")
+    near = distances(entities, criterion).where("d is not null and not isnan(d)")
     if criterion.sets:
         near = near.where(F.col("d") < 1 - 1e-6)
     return near.orderBy("d", "id").limit(length)
@@ -91,8 +92,7 @@ def scale_of(entities: DataFrame, criterion: Criterion, k: int) -> Column:
     if criterion.scale is not None and criterion.scale > 0:
         return F.lit(float(criterion.scale))
     kth = listed(entities, criterion, k).agg(F.max("d")).scalar()
-    d = criterion.distance().alias("d")
-    positive = entities.select(d).where("d > 0 and not isnan(d)")
+    positive = distances(entities, criterion).where("d > 0 and not isnan(d)")
     if criterion.sets:
         positive = positive.where(F.col("d") < 1 - 1e-6)
     return F.coalesce(F.nullif(kth, F.lit(0.0)), positive.agg(F.min("d")).scalar())
@@ -201,9 +201,8 @@ def _scored(entities: DataFrame, p: Prepared, extra: Sequence[str] = ()) -> Data
     rows = entities.select(
         "id",
         *(c.value.alias(f"v{j}") for j, c in enumerate(p.criteria)),
-        *(c.distance().alias(f"d{j}") for j, c in enumerate(p.criteria)),
         *(F.col(e).alias(f"x_{e}") for e in extra),
-    )
+    ).withColumns({f"d{j}": c.between(F.col(f"v{j}"), c.literal()) for j, c in enumerate(p.criteria)})
     return rows.withColumns({f"s{j}": p.similarity(j, F.col(f"d{j}")) for j in range(len(p.criteria))})
 
 

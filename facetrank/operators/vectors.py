@@ -14,10 +14,11 @@ def keyword_vectors(rows: DataFrame, dictionary: DataFrame, keywords: str = "key
 
     A keyword of words joined by `+` has the mean of its words' vectors. Terms that the dictionary lacks add nothing
     but count in the mean. Terms are compared in lower case. Rows without keywords, or none of whose keywords is
-    known, have a null vector. dictionary: term, vector (all of one length); of repeated terms the greatest vector
-    counts.
+    known, have a null vector. dictionary: term, vector; vectors of another length than `size`, by default the
+    dictionary's most frequent one, are as good as missing; of repeated terms the greatest vector counts.
     """
-    terms = dictionary.where("term is not null and vector is not null").groupBy(F.lower("term").alias("word")).agg(F.max("vector").alias("vector"))
+    size = size or dictionary.agg(F.mode(F.size("vector"), True)).first()[0] or 0
+    terms = dictionary.where(F.col("term").isNotNull() & (F.size("vector") == size)).groupBy(F.lower("term").alias("word")).agg(F.max("vector").alias("vector"))
     if dictionary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
     words = (

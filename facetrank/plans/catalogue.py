@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetrank.functions import measures, values
-from facetrank.functions.runtime import table
+from facetrank.functions.runtime import spread, table
 from facetrank.functions.text import qgrams
 from facetrank.operators import analytics, pivot, points, ranking
 from facetrank.operators.normalize import normalized
@@ -424,7 +424,7 @@ def word2vec(spark: SparkSession, folder: str) -> DataFrame:
 def doc_similarity(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose sets of words are most like that of a given text."""
     words = lambda c: F.array_distinct(F.split(F.lower(c), "[^a-z]+"))
-    docs = table(spark, folder, "documents").where("text is not null and text <> ''")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text")).where("text is not null and text <> ''")
     wanted = "fix the pending resolver in cache and update the tests of the nested worker".split()
     entities = docs.select(F.col("doc_id").cast("string").alias("id"), F.array_remove(words(F.col("text")), "").alias("words"))
     found = ranking.singleton(entities, Criterion("words", "keywords", F.col("words"), wanted), 20)

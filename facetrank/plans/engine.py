@@ -256,8 +256,7 @@ class Engine:
         if of is None:
             raise ValueError(f"no vector dictionary {s.transform_by}")
         terms = self.attribute(of).selectExpr("id term", "value vector")
-        sample = terms.select(F.size("vector").alias("n")).first()
-        vectors = keyword_vectors(rows.select("id", F.col(f"`{s.column}`").alias("keywords")), terms, size=sample["n"] if sample else 0)
+        vectors = keyword_vectors(rows.select("id", F.col(f"`{s.column}`").alias("keywords")), terms)
         return rows.drop(s.column).join(vectors.withColumnRenamed("vector", s.column), "id", "left")
 
     # Searches
