@@ -28,6 +28,8 @@ TOKEN = r"\b(?=[a-f]*[0-9])[0-9a-f]{7,}\b|\p{IsLatin}+|[\p{L}&&[^\p{IsLatin}]]+|
 STOP = "\u241e"
 #: Tokens that may follow the last one of a text are looked for in that many last characters.
 TAIL = 400
+#: A last run of so many characters without a blank is data, not words; its pieces say nothing about words or phrases.
+NO_WORD = 40
 KINDS = ("word", "phrase", "limit", "closing", "hunk", "mark")
 #: Marks of omission.
 MARKS = (" [truncated]", "[truncated]", "...", "\u2026")
@@ -91,6 +93,7 @@ def endings(documents: DataFrame) -> DataFrame:
         "doc_id", "source", "key", "chars", "bytes",
         missing.alias("short_hunk"),
         F.md5(F.regexp_replace(F.expr(f"right(_text, {LIMIT_TAIL})"), "[0-9]+", "0")).alias("tail"),
+        (F.length(F.regexp_extract(F.expr(f"right(_text, {TAIL})"), r"(\S*)$", 1)) >= NO_WORD).alias("no_word"),
         F.coalesce(*(F.when(F.endswith("_text", F.lit(m)), F.lit(m)) for m in MARKS)).alias("mark"),
         F.get(last, F.size(last) - 3).alias("a"),
         F.get(last, F.size(last) - 2).alias("b"),
@@ -232,8 +235,8 @@ def evidence(documents: DataFrame) -> DataFrame:
         .select(
             "doc_id",
             "source",
-            F.coalesce("word", F.lit(False)).alias("word"),
-            F.coalesce("phrase", F.lit(False)).alias("phrase"),
+            (F.coalesce("word", F.lit(False)) & ~F.col("no_word")).alias("word"),
+            (F.coalesce("phrase", F.lit(False)) & ~F.col("no_word")).alias("phrase"),
             F.coalesce(
                 (F.least("chars_chance", "bytes_chance") <= CHANCE)
                 | (F.least("chars_chance", "bytes_chance").isNotNull() & ~F.coalesce("usual_end", F.lit(False))),
