@@ -122,9 +122,9 @@ def inner_trigrams(documents: DataFrame) -> DataFrame:
 def evidence(documents: DataFrame) -> DataFrame:
     """(doc_id, source, and the KINDS of evidence) for each document whose text is neither null nor blank.
 
-    documents: doc_id, text, source. Copies of a text get the same evidence and count once where different texts are
-    counted; a null source counts as one of its own without limit or closing; empty, blank and null texts have no
-    row; an empty table gives none; other columns are ignored.
+    documents: doc_id, text, source. Copies of a text get the same evidence, whatever their sources, and count once a
+    source where different texts are counted; a null source counts as one of its own, to which the limits of all others
+    apply too; empty, blank and null texts have no row; an empty table gives none; other columns are ignored.
     """
     docs = cut(endings(documents.select("doc_id", "text", "source")))
     texts = docs.dropDuplicates(["key", "source"])
@@ -179,22 +179,21 @@ def evidence(documents: DataFrame) -> DataFrame:
         "a", "b", "c", word.alias("word"), phrase.alias("phrase"), ((F.col("c") == "\n") | ((F.col("inside") > 0) & usual_end)).alias("usual_end")
     )
 
-    named = texts.where("source <> ''")
     # Two tokens that close nearly all texts of a source, blanks and line ends aside.
-    sizes = named.groupBy("source").agg(F.count("*").alias("texts"))
-    closing = named.groupBy("source", "b", "c").agg(F.count("*").alias("n"))
+    sizes = texts.groupBy("source").agg(F.count("*").alias("texts"))
+    closing = texts.groupBy("source", "b", "c").agg(F.count("*").alias("n"))
     closing = (
         closing.join(sizes, "source")
         .where((F.col("texts") >= CLOSING_LEAST) & (F.col("n") >= F.col("texts") * CLOSING_SHARE))
         .selectExpr("source", "b close_b", "c close_c")
     )
 
-    lengths = named.select(
+    lengths = texts.select(
         "source",
         "tail",
         F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("unit", "at"),
     )
-    counts = lengths.groupBy("source", "unit", "at", "tail").agg(F.lit(1).alias("one")).groupBy("source", "unit", "at").agg(F.count("*").alias("n"))
+    counts = cut(lengths.distinct().groupBy("source", "unit", "at").agg(F.count("*").alias("n")))
     near = counts.select("source", "unit", "n", F.explode(F.sequence(F.col("at") - LIMIT_SPAN, F.col("at") + LIMIT_SPAN)).alias("to"), "at").where("to <> at")
     around = near.groupBy("source", "unit", F.col("to").alias("at")).agg(
         (F.sum("n") / (2 * LIMIT_SPAN)).alias("usual"),
@@ -210,7 +209,15 @@ def evidence(documents: DataFrame) -> DataFrame:
         .agg(F.max_by(F.struct("unit", (F.col("usual") / F.col("n")).alias("chance")), F.struct("n", "unit")).alias("l"))
         .select("source", "at", "l.unit", "l.chance")
     )
-    limits = cut(limits)
+    # A text without a source may come from any: what isn't beyond the usual at a limit's length came there by chance.
+    beyond_usual = limits.join(counts, ["source", "unit", "at"]).where("source <> ''").groupBy("unit", "at").agg(
+        F.sum(F.col("n") * (1 - F.col("chance"))).alias("beyond")
+    )
+    all_sources = counts.where("source <> ''").groupBy("unit", "at").agg(F.sum("n").alias("n"))
+    nameless = beyond_usual.join(all_sources, ["unit", "at"]).select(
+        F.lit("").alias("source"), "at", "unit", (1 - F.col("beyond") / F.col("n")).alias("chance")
+    )
+    limits = cut(limits.unionByName(nameless).groupBy("source", "at", "unit").agg(F.min("chance").alias("chance")))
     of_unit = {
         u: limits.where(F.col("unit") == u).select("source", F.col("at").alias(f"{u}_limit"), F.col("chance").alias(f"{u}_chance"))
         for u in ("chars", "bytes")
@@ -220,9 +227,10 @@ def evidence(documents: DataFrame) -> DataFrame:
         "bytes": F.col("bytes") - F.octet_length(F.coalesce("mark", F.lit(""))),
     }
 
-    null_safe = [docs[x].eqNullSafe(judged[x]) for x in "abc"]
-    return (
-        docs.join(judged, null_safe[0] & null_safe[1] & null_safe[2], "left")
+    null_safe = [texts[x].eqNullSafe(judged[x]) for x in "abc"]
+    chance = F.least("chars_chance", "bytes_chance")
+    by_source = (
+        texts.join(judged, null_safe[0] & null_safe[1] & null_safe[2], "left")
         .drop(judged["a"])
         .drop(judged["b"])
         .drop(judged["c"])
@@ -233,20 +241,20 @@ def evidence(documents: DataFrame) -> DataFrame:
         .join(limits.where("unit = 'chars'").selectExpr("source", "at chars_bare", "true chars_marked"), ["source", "chars_bare"], "left")
         .join(limits.where("unit = 'bytes'").selectExpr("source", "at bytes_bare", "true bytes_marked"), ["source", "bytes_bare"], "left")
         .select(
-            "doc_id",
-            "source",
+            "key",
             (F.coalesce("word", F.lit(False)) & ~F.col("no_word")).alias("word"),
             (F.coalesce("phrase", F.lit(False)) & ~F.col("no_word")).alias("phrase"),
             F.coalesce(
-                (F.least("chars_chance", "bytes_chance") <= CHANCE)
-                | (F.least("chars_chance", "bytes_chance").isNotNull() & ~F.coalesce("usual_end", F.lit(False))),
-                F.lit(False),
+                (chance <= CHANCE) | ((chance <= 1 / LIMIT_TIMES) & ~F.coalesce("usual_end", F.lit(False))), F.lit(False)
             ).alias("limit"),
             F.coalesce((F.col("b") != F.col("close_b")) | (F.col("c") != F.col("close_c")), F.lit(False)).alias("closing"),
             F.coalesce("short_hunk", F.lit(False)).alias("hunk"),
             (F.col("mark").isNotNull() & (F.col("chars_marked").isNotNull() | F.col("bytes_marked").isNotNull())).alias("mark"),
         )
     )
+    # What a source's limit or closing says of a text holds for its copies under all sources.
+    of_text = by_source.groupBy("key").agg(*(F.max(k).alias(k) for k in KINDS))
+    return docs.select("doc_id", "source", "key").join(of_text, "key").select("doc_id", "source", *KINDS)
 
 
 def truncated(documents: DataFrame) -> DataFrame:

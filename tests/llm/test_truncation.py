@@ -74,3 +74,30 @@ def test_escaped_object_is_resolved(spark):
     text = '{"message": "a\\nb \\"c\\""}'
     got = spark.range(1).select(t.plain(F.lit(text)).alias("p")).first()["p"]
     assert got == '{"message": "a\nb "c""}'
+
+
+def cut_at_line_ends(rng, n, size):
+    """Different texts of this length that end with a whole sentence."""
+    closes = (f"\nThe {a} report was for {b} and {c}." for a, b, c in (rng.sample(WORDS, 3) for _ in range(n)))
+    return [text(rng, 9)[: size - len(x)] + x for x in closes]
+
+
+def test_limits_hold_without_a_source_and_for_copies(spark):
+    rng = random.Random(5)
+    rows = [(i, text(rng, rng.randrange(1, 7)), "prose" if i % 2 else "notes") for i in range(600)]
+    rows += [(1000 + i, x, "prose") for i, x in enumerate(cut_at_line_ends(rng, 60, 300))]
+    rows += [(2000 + i, x, None) for i, x in enumerate(cut_at_line_ends(rng, 3, 300))]
+    rows += [(3000, rows[610][1], "notes"), (3001, rows[611][1], None), (3002, cut_at_line_ends(rng, 1, 300)[0] + "...", None)]
+    rows += [(4000 + i, text(rng, 3), None) for i in range(20)]
+    got = {r["doc_id"] for r in t.evidence(spark.createDataFrame(rows, SCHEMA)).where("limit or mark").collect()}
+    assert set(range(1000, 1060)) | {2000, 2001, 2002, 3000, 3001, 3002} <= got
+    assert not got & set(range(4000, 4020))
+
+
+def test_closing_holds_for_copies_and_texts_without_any_source(spark):
+    rng = random.Random(6)
+    mails = [text(rng, 2) + "\n-- \n2.3" for _ in range(60)] + [text(rng, 2)]
+    frame = spark.createDataFrame([(i, x, "mail") for i, x in enumerate(mails)] + [(100, mails[-1], None)], SCHEMA)
+    assert {r["doc_id"] for r in t.evidence(frame).where("closing").collect()} == {60, 100}
+    bare = spark.createDataFrame([(i, x, None) for i, x in enumerate(mails)], SCHEMA)
+    assert {r["doc_id"] for r in t.evidence(bare).where("closing").collect()} == {60}
