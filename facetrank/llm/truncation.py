@@ -86,18 +86,18 @@ def endings(documents: DataFrame) -> DataFrame:
         text.alias("_text"),
     )
     hunk, missing = _hunk_missing(F.col("_text"))
-    tail = F.slice(tokens(F.concat(F.lit("\n"), F.expr(f"right(_text, {TAIL})"))), -4, 4)
-    # Blank lines and blanks at the very end say nothing; a line end before the last token does.
-    last = F.filter(tail, lambda t: t.isNotNull())
-    return rows.withColumn("_hunk", hunk).select(
+    # A text of one token has a line end before it and nothing before that.
+    tail = tokens(F.concat(F.lit("\n"), F.expr(f"right(_text, {TAIL})")))
+    token = lambda i: F.get("_tail", F.size("_tail") - i)
+    return rows.withColumns({"_hunk": hunk, "_tail": tail}).select(
         "doc_id", "source", "key", "chars", "bytes",
         missing.alias("short_hunk"),
         F.md5(F.regexp_replace(F.expr(f"right(_text, {LIMIT_TAIL})"), "[0-9]+", "0")).alias("tail"),
         (F.length(F.regexp_extract(F.expr(f"right(_text, {TAIL})"), r"(\S*)$", 1)) >= NO_WORD).alias("no_word"),
         F.coalesce(*(F.when(F.endswith("_text", F.lit(m)), F.lit(m)) for m in MARKS)).alias("mark"),
-        F.get(last, F.size(last) - 3).alias("a"),
-        F.get(last, F.size(last) - 2).alias("b"),
-        F.get(last, F.size(last) - 1).alias("c"),
+        token(3).alias("a"),
+        token(2).alias("b"),
+        token(1).alias("c"),
     )
 
 
@@ -185,7 +185,7 @@ def evidence(documents: DataFrame) -> DataFrame:
     closing = (
         closing.join(sizes, "source")
         .where((F.col("texts") >= CLOSING_LEAST) & (F.col("n") >= F.col("texts") * CLOSING_SHARE))
-        .selectExpr("source", "b close_b", "c close_c")
+        .selectExpr("source", "b close_b", "c close_c", "true closed")
     )
 
     lengths = texts.select(
@@ -247,7 +247,7 @@ def evidence(documents: DataFrame) -> DataFrame:
             F.coalesce(
                 (chance <= CHANCE) | ((chance <= 1 / LIMIT_TIMES) & ~F.coalesce("usual_end", F.lit(False))), F.lit(False)
             ).alias("limit"),
-            F.coalesce((F.col("b") != F.col("close_b")) | (F.col("c") != F.col("close_c")), F.lit(False)).alias("closing"),
+            (F.col("closed").isNotNull() & ~(F.col("b").eqNullSafe(F.col("close_b")) & F.col("c").eqNullSafe(F.col("close_c")))).alias("closing"),
             F.coalesce("short_hunk", F.lit(False)).alias("hunk"),
             (F.col("mark").isNotNull() & (F.col("chars_marked").isNotNull() | F.col("bytes_marked").isNotNull())).alias("mark"),
         )

@@ -101,3 +101,13 @@ def test_closing_holds_for_copies_and_texts_without_any_source(spark):
     assert {r["doc_id"] for r in t.evidence(frame).where("closing").collect()} == {60, 100}
     bare = spark.createDataFrame([(i, x, None) for i, x in enumerate(mails)], SCHEMA)
     assert {r["doc_id"] for r in t.evidence(bare).where("closing").collect()} == {60}
+
+
+def test_texts_of_one_or_two_tokens_are_judged(spark):
+    rng = random.Random(7)
+    rows = [(i, text(rng, 2) + "\n-- \n2.3", "mail") for i in range(60)] + [(60, "The", "mail"), (61, "Alpha report", "mail")]
+    rows += [(100 + i, "\n".join(f"Released the {rng.choice(WORDS)} version." for _ in range(4)), "notes") for i in range(40)]
+    rows += [(200, "Rele", "notes"), (201, "Released t", "notes"), (202, "Done.", "misc")]
+    found = {r["doc_id"]: r for r in t.evidence(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[60]["closing"] and found[61]["closing"] and found[200]["word"] and found[201]["word"]
+    assert not any(found[202][k] for k in t.KINDS)
