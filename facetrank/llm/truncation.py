@@ -28,8 +28,9 @@ TOKEN = r"\b(?=[a-f]*[0-9])[0-9a-f]{7,}\b|\p{IsLatin}+|[\p{L}&&[^\p{IsLatin}]]+|
 STOP = "\u241e"
 #: Tokens that may follow the last one of a text are looked for in that many last characters.
 TAIL = 400
-#: A last run of so many characters without a blank is data, not words; its pieces say nothing about words or phrases.
+#: A last run of so many characters of base85, base64 or hex is data, not words; its pieces say nothing about words or phrases.
 NO_WORD = 40
+DATA = r"[0-9A-Za-z!#$%&()*+\-/;<=>?@^_`{|}~]"
 KINDS = ("word", "phrase", "limit", "closing", "hunk", "mark")
 #: Marks of omission.
 MARKS = (" [truncated]", "[truncated]", "...", "\u2026")
@@ -93,7 +94,7 @@ def endings(documents: DataFrame) -> DataFrame:
         "doc_id", "source", "key", "chars", "bytes",
         missing.alias("short_hunk"),
         F.md5(F.regexp_replace(F.expr(f"right(_text, {LIMIT_TAIL})"), "[0-9]+", "0")).alias("tail"),
-        (F.length(F.regexp_extract(F.expr(f"right(_text, {TAIL})"), r"(\S*)$", 1)) >= NO_WORD).alias("no_word"),
+        F.expr(f"right(_text, {NO_WORD})").rlike(rf"\A{DATA}{{{NO_WORD}}}\z").alias("no_word"),
         F.coalesce(*(F.when(F.endswith("_text", F.lit(m)), F.lit(m)) for m in MARKS)).alias("mark"),
         token(3).alias("a"),
         token(2).alias("b"),

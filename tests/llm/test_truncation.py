@@ -111,3 +111,16 @@ def test_texts_of_one_or_two_tokens_are_judged(spark):
     found = {r["doc_id"]: r for r in t.evidence(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found[60]["closing"] and found[61]["closing"] and found[200]["word"] and found[201]["word"]
     assert not any(found[202][k] for k in t.KINDS)
+
+
+def test_long_lines_without_blanks_are_words_unless_data(spark):
+    rng = random.Random(8)
+    clauses = ["本周报告已经完成", "所有测试均已通过", "下一步将更新文档", "缓存模块需要重写"]
+    line = lambda n: "。".join("，".join(clauses[i:] + clauses[:i]) for i in (rng.randrange(4) for _ in range(n))) + "。"
+    rows = [(i, line(rng.randrange(3, 9)), "notes") for i in range(100)]
+    rows += [(200, line(4) + "本周报告已经完成，所有测试均", "notes"), (201, line(4) + "所有测试均已通过，下一步将更", "notes")]
+    data = "".join(rng.choice("0123456789abcdefXYZ+/") for _ in range(60))
+    rows += [(300 + i, f"sum of {data} matched", "sums") for i in range(30)] + [(400, f"sum of {data[:50]}", "sums")]
+    found = {r["doc_id"]: r for r in t.evidence(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[200]["word"] and found[201]["word"] and not any(found[i]["word"] or found[i]["phrase"] for i in range(100))
+    assert not found[400]["word"] and not found[400]["phrase"]
