@@ -1,8 +1,9 @@
 """Most similar vectors for every vector, by a permutation index.
 
 Pivots are drawn from a bounded sample. Each vector is represented by its PREFIX nearest pivots in order, and posted in
-the inverted files of its POSTS nearest ones. Within a file, each vector ranks the others by the footrule distance of
-the prefixes; the best are reranked by exact distance. The k best of all its files are the vector's neighbours.
+the inverted files of its POSTS nearest ones. Within a file, each vector is compared with all others by exact distance,
+as one matrix product a block: a choice of candidates by the footrule distance of the prefixes, which ties often, loses
+neighbours as files grow. The k best of all its files are the vector's neighbours.
 A file that is too long is split by a second pivot of the prefix, and what is still too long goes in tiles.
 
 Exact copies are one vector until the end.
@@ -27,8 +28,6 @@ DENSITY = 8
 PIVOTS = (32, 8192)
 #: Most vectors of a file that one task compares with each other.
 FILE = 20_000
-#: Candidates by footrule that are reranked, per neighbour wanted.
-RERANK = 10
 
 
 def usable(vector: Column, size: int) -> Column:
@@ -48,36 +47,27 @@ def _prefixes(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarra
     return out
 
 
-def _neighbours(ids: np.ndarray, prefixes: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.ndarray, k: int) -> pd.DataFrame:
-    """For each of `left` (positions), the k nearest of `right`, candidates by footrule first."""
-    length = prefixes.shape[1]
+def _neighbours(ids: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.ndarray, k: int) -> pd.DataFrame:
+    """For each of `left` (positions), the k nearest of `right`, all of them compared; of equally near ones the first."""
     rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    candidates = RERANK * k
-    target = prefixes[right]
-    norms = (vectors[right] ** 2).sum(axis=1)
-    block = max(1, 4_000_000 // max(1, len(right)))
+    squares = (vectors**2).sum(axis=1)
+    others = vectors[right]
+    slack = 1e-9 * squares.max()
+    block = max(1, 1_000_000 // len(right))
     for a in range(0, len(left), block):
         some = left[a : a + block]
-        # The footrule distance is a constant less twice this: a common pivot at places i and j counts length - max(i, j).
-        common = np.zeros((len(some), len(right)), dtype=np.int16)
-        for i in range(length):
-            for j in range(length):
-                common += (prefixes[some, i][:, None] == target[None, :, j]).astype(np.int16) * np.int16(length - max(i, j))
-        common[some[:, None] == right[None]] = -1
-        if len(right) > candidates:
-            best = np.argpartition(-common, candidates - 1, axis=1)[:, :candidates]
-        else:
-            best = np.broadcast_to(np.arange(len(right)), common.shape)
-        valid = np.take_along_axis(common, best, axis=1) >= 0
-        d = norms[best] + (vectors[some] ** 2).sum(axis=1)[:, None] - 2 * np.einsum("qd,qcd->qc", vectors[some], vectors[right[best]])
-        d[~valid] = np.inf
-        n = min(k, d.shape[1])
-        nearest = np.argsort(d, axis=1, kind="stable")[:, :n]
-        chosen = right[np.take_along_axis(best, nearest, axis=1)]
-        fine = np.isfinite(np.take_along_axis(d, nearest, axis=1))
-        q = np.repeat(some, n).reshape(-1, n)[fine]
-        c = chosen[fine]
-        rows.append((q, c, np.sqrt(((vectors[q] - vectors[c]) ** 2).sum(axis=1))))
+        d = squares[right] + squares[some][:, None] - 2 * vectors[some] @ others.T
+        d[some[:, None] == right[None]] = np.inf
+        n = min(k, len(right))
+        # Products round: what may be among the k nearest is measured again by differences.
+        bound = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+        at, of = np.nonzero(np.isfinite(d) & (d <= bound + slack))
+        q, c = some[at], right[of]
+        exact = np.sqrt(((vectors[q] - vectors[c]) ** 2).sum(axis=1))
+        order = np.lexsort((c, exact, q))
+        q, c, exact = q[order], c[order], exact[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        rows.append((q[first], c[first], exact[first]))
     q, c, d = (np.concatenate(x) for x in zip(*rows))
     return pd.DataFrame({"q": ids[q], "c": ids[c], "d": d})
 
@@ -120,9 +110,9 @@ def neighbours(vectors: DataFrame, k: int, posts: int = POSTS, prefix: int = PRE
         posted = posted.withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).withColumn(
             "other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
         )
-        posted = posted.select("file", "second", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "key", "v", "p")
+        posted = posted.select("file", "second", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "key", "v")
     else:
-        posted = posted.selectExpr("file", "second", "0 a", "0 b", "0 own", "key", "v", "p")
+        posted = posted.selectExpr("file", "second", "0 a", "0 b", "0 own", "key", "v")
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"q": pd.Series(dtype=str), "c": pd.Series(dtype=str), "d": pd.Series(dtype=float)})
@@ -131,14 +121,13 @@ def neighbours(vectors: DataFrame, k: int, posts: int = POSTS, prefix: int = PRE
         frame = frame.sort_values("key", ignore_index=True)
         ids = frame["key"].to_numpy()
         v = np.frombuffer(b"".join(frame["v"]), dtype=float).reshape(len(ids), -1)
-        p = np.array(frame["p"].tolist(), dtype=np.int32)
         own = frame["own"].to_numpy()
         left, right = np.flatnonzero(own == frame["a"].iat[0]), np.flatnonzero(own == frame["b"].iat[0])
         if not len(left) or not len(right):
             return none
         if frame["a"].iat[0] == frame["b"].iat[0]:
-            return _neighbours(ids, p, v, left, left, k)
-        return pd.concat([_neighbours(ids, p, v, left, right, k), _neighbours(ids, p, v, right, left, k)])
+            return _neighbours(ids, v, left, left, k)
+        return pd.concat([_neighbours(ids, v, left, right, k), _neighbours(ids, v, right, left, k)])
 
     cell = ["file", "second", "a", "b"]
     found = wide(posted, *cell).groupBy(*cell).applyInPandas(search, "q string, c string, d double")

@@ -50,3 +50,11 @@ def test_empty_and_single(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert p.near_terms(none).count() == 0
     assert p.near_terms(spark.createDataFrame([("a", [1.0])], SCHEMA), size=1).count() == 0
+
+
+def test_every_vector_of_a_long_file_is_compared(spark):
+    """One pivot makes one file of all vectors: nothing is then left to chance."""
+    rng = np.random.default_rng(4)
+    vectors = {f"t{i:04}": x for i, x in enumerate(rng.normal(size=(1500, 8)).round(3))}
+    rows = spark.createDataFrame([(t, v.tolist()) for t, v in vectors.items()], SCHEMA)
+    assert {tuple(r) for r in p.near_terms(rows, 3, 1.5, 8, pivots=1).collect()} == brute(vectors, 3, 1.5)
