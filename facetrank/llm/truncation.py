@@ -1,37 +1,43 @@
 """Texts that were cut off before their end, and how often each source cuts. Pure SQL over the whole texts.
 
-Evidence, each kind counted over the whole collection:
-
-* word: the last word, after the two tokens (or the one token) before it, is far more often the beginning of a longer one.
-* phrase: the final trigram (or, where that is rare, the final pair) is frequent inside texts but almost never stands at
-  the end of a text or line.
-* limit: far more texts of the source, with different last characters, have this very length (in characters or bytes)
-  than have the lengths around it.
-* mark: a mark of omission stands at the very end, and the text before it has the length of such a limit.
+Trigrams of tokens are counted inside the texts, with how often a line ends after each, and as the last of a text; where
+one is rare, its last pair stands for it. Each text's final trigram is joined to these counts. They say:
+
+* phrase: it is frequent inside texts but almost never stands at the end of a text or line.
+* word: after the same two tokens (or one), the last word is far more often the beginning of a longer one.
+* open: the text has a length at which its source cuts, and its final trigram isn't one that usually ends a text or line.
+  That a length is such a limit makes a cut likely, so that less is asked of the trigram than elsewhere.
 * closing: nearly all texts of the source end with the same two tokens, and this one doesn't.
+
+Two things show a cut that no trigram can contradict:
+
+* mark: a mark of omission stands at the very end, and the text before it has the length of a limit.
 * hunk: the last hunk of a diff has fewer lines than its header announces.
 
-Trigrams alone cannot see a cut that falls on the end of a line or just after a whole word that may end one, which
-fixed-length limits often do; hence the other kinds beside the named method.
+A length alone (`limit`) is reported but finds nothing: complete texts have such lengths too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetrank.functions.runtime import cut, spread, wide
+from facetrank.functions.runtime import cut, spread, width
+from facetrank.functions.skew import lookup
 
-#: Hashes, words of Latin letters, words of other letters, numbers, line ends, runs of blanks, single marks.
-TOKEN = r"\b(?=[a-f]*[0-9])[0-9a-f]{7,}\b|\p{IsLatin}+|[\p{L}&&[^\p{IsLatin}]]+|\p{N}+|\n|[ \t]{2,}|[^\s\p{L}\p{N}]"
+#: Characters of base85, base64 and hex. A run of them with small and capital letters and digits is data, not words.
+DATA = r"[0-9A-Za-z!#$%&()*+\-/;<=>?@^_`{|}~]"
+DATA_RUN = rf"(?<!\S)(?={DATA}*[0-9])(?={DATA}*[a-z])(?={DATA}*[A-Z]){DATA}{{40,}}"
+#: Hashes, data, words of Latin letters, words of other letters, numbers, line ends, runs of blanks, single marks.
+TOKEN = rf"\b(?=[a-f]*[0-9])[0-9a-f]{{7,}}\b|{DATA_RUN}|" + r"\p{IsLatin}+|[\p{L}&&[^\p{IsLatin}]]+|\p{N}+|\n|[ \t]{2,}|[^\s\p{L}\p{N}]"
 #: What stands for a mark that ends a sentence: one with a blank, a line end or nothing after it.
 STOP = "\u241e"
-#: Tokens that may follow the last one of a text are looked for in that many last characters.
+#: What stands for a run of data.
+RUN = "\u2422"
+#: The last three tokens are first looked for in so many last characters; where these hold too few, in the whole text.
 TAIL = 400
-#: A last run of so many characters of base85, base64 or hex is data, not words; its pieces say nothing about words or phrases.
-NO_WORD = 40
-DATA = r"[0-9A-Za-z!#$%&()*+\-/;<=>?@^_`{|}~]"
 KINDS = ("word", "phrase", "limit", "closing", "hunk", "mark")
+FOUND = ("word", "phrase", "open", "closing", "hunk", "mark")
 #: Marks of omission.
 MARKS = (" [truncated]", "[truncated]", "...", "\u2026")
 WORD_TIMES, WORD_LEAST = 8, 3
@@ -40,8 +46,12 @@ PHRASE_LEAST, PHRASE_SHARE = 12, 0.02
 PAIR_LEAST, PAIR_SHARE = 40, 0.01
 CLOSING_SHARE, CLOSING_LEAST = 0.9, 30
 LIMIT_TIMES, LIMIT_STEP, LIMIT_LEAST, LIMIT_SPAN, LIMIT_TAIL, SHORTEST_LIMIT = 5, 4, 8, 20, 40, 60
-#: Beyond this share of texts that have a limit's length by chance, one that ends as complete texts do isn't taken as cut.
-CHANCE, USUAL_END = 0.05, 0.3
+#: Share of texts that have a limit's length by chance up to which the length alone counts as `limit`.
+CHANCE = 0.05
+#: Rows of the table of limits, and sources, up to which they are broadcast.
+MOST_LIMITS = 50_000
+#: A trigram (or pair) that is met so often elsewhere, with such a share of ends, usually ends a text or line.
+USUAL_LEAST, USUAL_END = 3, 0.3
 
 
 def plain(text: Column) -> Column:
@@ -58,10 +68,22 @@ def tokens(text: Column) -> Column:
         lambda t: F.when(t.rlike(r"^\p{N}+$"), "0")
         .when(t.rlike("^[ \t]"), "  ")
         .when(t.rlike("^[0-9a-f]{7,}$") & t.rlike("[0-9]"), "#")
+        .when((F.length(t) >= 40) & t.rlike(rf"^{DATA}+$") & t.rlike("[0-9]"), RUN)
         .otherwise(t),
     )
 
 
+def last_tokens(text: Column) -> Column:
+    """An array that ends with the last three tokens of the text; a line end stands before the first one.
+
+    They are those of the whole text: of its last characters only what follows the first blank is read, and the whole
+    text is where that isn't four tokens, the first of which may be incomplete.
+    """
+    whole = tokens(F.concat(F.lit("\n"), text))
+    tail = tokens(F.regexp_replace(F.right(text, F.lit(TAIL)), r"\A\S*", ""))
+    return F.when(F.length(text) <= TAIL, whole).when(F.size(tail) >= 4, F.slice(tail, -3, 3)).otherwise(whole)
+
+
 def _hunk_missing(text: Column) -> Column:
     """Whether the last hunk of a diff is shorter than its header says; null if there is none."""
     hunk = F.substring_index(F.concat(F.lit("\n"), text), "\n@@ -", -1)
@@ -76,7 +98,8 @@ def _hunk_missing(text: Column) -> Column:
 
 
 def endings(documents: DataFrame) -> DataFrame:
-    """One row a document with a text that is not blank: its key, lengths, last three tokens and hunk."""
+    """One row a document with a text that is not blank: its key, lengths, hunk, and last three tokens a, b, c ('' for
+    none), as (last) and without a mark of omission (bare)."""
     text = plain(F.col("text"))
     rows = documents.where(F.col("text").rlike(r"[^\s\p{Z}]")).select(
         "doc_id",
@@ -87,18 +110,23 @@ def endings(documents: DataFrame) -> DataFrame:
         text.alias("_text"),
     )
     hunk, missing = _hunk_missing(F.col("_text"))
-    # A text of one token has a line end before it and nothing before that.
-    tail = tokens(F.concat(F.lit("\n"), F.expr(f"right(_text, {TAIL})")))
-    token = lambda i: F.get("_tail", F.size("_tail") - i)
-    return rows.withColumns({"_hunk": hunk, "_tail": tail}).select(
-        "doc_id", "source", "key", "chars", "bytes",
-        missing.alias("short_hunk"),
-        F.md5(F.regexp_replace(F.expr(f"right(_text, {LIMIT_TAIL})"), "[0-9]+", "0")).alias("tail"),
-        F.expr(f"right(_text, {NO_WORD})").rlike(rf"\A{DATA}{{{NO_WORD}}}\z").alias("no_word"),
-        F.coalesce(*(F.when(F.endswith("_text", F.lit(m)), F.lit(m)) for m in MARKS)).alias("mark"),
-        token(3).alias("a"),
-        token(2).alias("b"),
-        token(1).alias("c"),
+    mark = F.coalesce(*(F.when(F.endswith("_text", F.lit(m)), F.lit(m)) for m in MARKS))
+    bare = F.left("_text", F.length("_text") - F.length("mark"))
+
+    def last(tail: str) -> Column:
+        token = lambda i: F.coalesce(F.get(tail, F.size(tail) - i), F.lit(""))
+        return F.struct(token(3).alias("a"), token(2).alias("b"), token(1).alias("c"))
+
+    return (
+        rows.withColumns({"_hunk": hunk, "mark": mark})
+        .withColumns({"_tail": last_tokens(F.col("_text")), "_bare": F.when(F.col("mark").isNotNull(), last_tokens(bare))})
+        .select(
+            "doc_id", "source", "key", "chars", "bytes", "mark",
+            missing.alias("short_hunk"),
+            F.md5(F.regexp_replace(F.expr(f"right(_text, {LIMIT_TAIL})"), "[0-9]+", "0")).alias("tail"),
+            last("_tail").alias("last"),
+            F.when(F.col("mark").isNotNull(), last("_bare")).alias("bare"),
+        )
     )
 
 
@@ -120,75 +148,37 @@ def inner_trigrams(documents: DataFrame) -> DataFrame:
     )
 
 
-def evidence(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, and the KINDS of evidence) for each document whose text is neither null nor blank.
+def _successors(inner: DataFrame, finals: DataFrame, before: list[str]) -> DataFrame:
+    """(before, c, last, inside, line_ends, longer): for each final token c after the tokens `before`, how often it, and
+    how often longer tokens that begin with it, come after them inside texts.
 
-    documents: doc_id, text, source. Copies of a text get the same evidence, whatever their sources, and count once a
-    source where different texts are counted; a null source counts as one of its own, to which the limits of all others
-    apply too; empty, blank and null texts have no row; an empty table gives none; other columns are ignored.
+    inner: before, c, n, ends; finals: before, c, last. Longer tokens follow c in order of bytes, so both sums are
+    differences of one running sum over the tokens that begin with the same character: no token meets another one.
     """
-    docs = cut(endings(documents.select("doc_id", "text", "source")))
-    texts = docs.dropDuplicates(["key", "source"])
-    inner = cut(inner_trigrams(documents))
-
-    finals = docs.dropDuplicates(["key"]).groupBy("a", "b", "c").agg(F.count("*").alias("last"))
-    # Words that may continue the final one: same two tokens before, same first letter.
-    letter = F.substring("c", 1, 1)
-    longer = inner.select("a", "b", letter.alias("l"), F.col("c").alias("x"), "n", "ends")
-    met = finals.withColumn("l", letter).join(longer, ["a", "b", "l"], "left")
-    whole = F.col("x") == F.col("c")
-    beyond = F.col("x").startswith(F.col("c")) & ~whole & F.col("c").rlike(r"\p{L}$")
-    judged = met.groupBy("a", "b", "c", "last").agg(
-        F.coalesce(F.sum(F.when(whole, F.col("n"))), F.lit(0)).alias("inside"),
-        F.coalesce(F.sum(F.when(whole, F.col("ends"))), F.lit(0)).alias("line_ends"),
-        F.coalesce(F.sum(F.when(beyond, F.col("n"))), F.lit(0)).alias("longer"),
-    )
-    pairs = inner.groupBy("b", "c").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-    pair_last = finals.groupBy("b", "c").agg(F.sum("last").alias("pair_last"))
-    pair_longer = pairs.select("b", letter.alias("l"), F.col("c").alias("x"), "n", "ends")
-    pair_judged = (
-        pair_last.withColumn("l", letter)
-        .join(pair_longer, ["b", "l"], "left")
-        .groupBy("b", "c", "pair_last")
-        .agg(
-            F.coalesce(F.sum(F.when(whole, F.col("n"))), F.lit(0)).alias("pair_inside"),
-            F.coalesce(F.sum(F.when(whole, F.col("ends"))), F.lit(0)).alias("pair_line_ends"),
-            F.coalesce(F.sum(F.when(beyond, F.col("n"))), F.lit(0)).alias("pair_longer"),
-        )
+    letter = F.substring("c", 1, 1).alias("l")
+    zero = F.lit(0).cast("bigint")
+    rows = inner.select(*before, "c", letter, "n", "ends", zero.alias("last"))
+    rows = rows.unionByName(finals.select(*before, "c", letter, zero.alias("n"), zero.alias("ends"), "last"))
+    # One shuffle, by what the window needs, serves both aggregates too.
+    rows = rows.repartition(width(inner.sparkSession), *before, "l")
+    rows = rows.groupBy(*before, "l", "c").agg(*(F.sum(x).alias(x) for x in ("n", "ends", "last")))
+    # After the last text that begins with c, in order of bytes.
+    end = F.struct(F.concat("c", F.lit("\U0010ffff")).alias("at"), zero.alias("n"), F.lit(True).alias("is_end"))
+    own = F.struct(F.col("c").alias("at"), F.col("n"), F.lit(False).alias("is_end"))
+    events = rows.withColumn("e", F.explode(F.when(F.col("last") > 0, F.array(own, end)).otherwise(F.array(own))))
+    upto = Window.partitionBy(*before, "l").orderBy("e.at").rangeBetween(Window.unboundedPreceding, 0)
+    summed = events.withColumn("upto", F.sum("e.n").over(upto)).where("last > 0")
+    pick = lambda at_end: F.max(F.when(F.col("e.is_end") == at_end, F.col("upto")))
+    return (
+        summed.groupBy(*before, "l", "c")
+        .agg(F.max("last").alias("last"), F.max("n").alias("inside"), F.max("ends").alias("line_ends"), (pick(True) - pick(False)).alias("longer"))
+        .drop("l")
     )
-    judged = judged.join(pair_judged, ["b", "c"], "left").na.fill(0)
-
-    def rare_end(inside: str, ends: str, last: str, least: int, share: float) -> Column:
-        total = F.col(inside) + F.col(last)
-        return (total >= least) & (F.col(ends) + F.col(last) < total * share)
 
-    at_end = F.col("c").isin("\n", "  ")
-    frequent = F.col("inside") + F.col("last") >= PHRASE_LEAST
-    phrase = ~at_end & (
-        rare_end("inside", "line_ends", "last", PHRASE_LEAST, PHRASE_SHARE)
-        | (~frequent & rare_end("pair_inside", "pair_line_ends", "pair_last", PAIR_LEAST, PAIR_SHARE))
-    )
-    word = ~at_end & (
-        ((F.col("longer") >= WORD_LEAST) & (F.col("longer") >= WORD_TIMES * (F.col("inside") + F.col("last") - 1)))
-        | (
-            (F.col("pair_longer") >= PAIR_WORD_LEAST)
-            & (F.col("pair_longer") >= PAIR_WORD_TIMES * (F.col("pair_inside") + F.col("pair_last") - 1))
-        )
-    )
-    usual_end = F.col("line_ends") + F.col("last") >= USUAL_END * (F.col("inside") + F.col("last"))
-    judged = judged.select(
-        "a", "b", "c", word.alias("word"), phrase.alias("phrase"), ((F.col("c") == "\n") | ((F.col("inside") > 0) & usual_end)).alias("usual_end")
-    )
-
-    # Two tokens that close nearly all texts of a source, blanks and line ends aside.
-    sizes = texts.groupBy("source").agg(F.count("*").alias("texts"))
-    closing = texts.groupBy("source", "b", "c").agg(F.count("*").alias("n"))
-    closing = (
-        closing.join(sizes, "source")
-        .where((F.col("texts") >= CLOSING_LEAST) & (F.col("n") >= F.col("texts") * CLOSING_SHARE))
-        .selectExpr("source", "b close_b", "c close_c", "true closed")
-    )
 
+def _limits(texts: DataFrame) -> DataFrame:
+    """(source, unit, at, chance): lengths that far more texts of a source have than the lengths around, and the share
+    of those texts that has it by chance. Source '' has the limits of all sources."""
     lengths = texts.select(
         "source",
         "tail",
@@ -218,54 +208,111 @@ def evidence(documents: DataFrame) -> DataFrame:
     nameless = beyond_usual.join(all_sources, ["unit", "at"]).select(
         F.lit("").alias("source"), "at", "unit", (1 - F.col("beyond") / F.col("n")).alias("chance")
     )
-    limits = cut(limits.unionByName(nameless).groupBy("source", "at", "unit").agg(F.min("chance").alias("chance")))
-    of_unit = {
-        u: limits.where(F.col("unit") == u).select("source", F.col("at").alias(f"{u}_limit"), F.col("chance").alias(f"{u}_chance"))
-        for u in ("chars", "bytes")
-    }
-    bare = {
-        "chars": F.col("chars") - F.length(F.coalesce("mark", F.lit(""))),
-        "bytes": F.col("bytes") - F.octet_length(F.coalesce("mark", F.lit(""))),
-    }
-
-    null_safe = [texts[x].eqNullSafe(judged[x]) for x in "abc"]
-    chance = F.least("chars_chance", "bytes_chance")
-    by_source = (
-        texts.join(judged, null_safe[0] & null_safe[1] & null_safe[2], "left")
-        .drop(judged["a"])
-        .drop(judged["b"])
-        .drop(judged["c"])
-        .join(closing, "source", "left")
-        .withColumns({f"{u}_bare": bare[u] for u in bare})
-        .join(of_unit["chars"].withColumnRenamed("chars_limit", "chars"), ["source", "chars"], "left")
-        .join(of_unit["bytes"].withColumnRenamed("bytes_limit", "bytes"), ["source", "bytes"], "left")
-        .join(limits.where("unit = 'chars'").selectExpr("source", "at chars_bare", "true chars_marked"), ["source", "chars_bare"], "left")
-        .join(limits.where("unit = 'bytes'").selectExpr("source", "at bytes_bare", "true bytes_marked"), ["source", "bytes_bare"], "left")
-        .select(
-            "key",
-            (F.coalesce("word", F.lit(False)) & ~F.col("no_word")).alias("word"),
-            (F.coalesce("phrase", F.lit(False)) & ~F.col("no_word")).alias("phrase"),
-            F.coalesce(
-                (chance <= CHANCE) | ((chance <= 1 / LIMIT_TIMES) & ~F.coalesce("usual_end", F.lit(False))), F.lit(False)
-            ).alias("limit"),
-            (F.col("closed").isNotNull() & ~(F.col("b").eqNullSafe(F.col("close_b")) & F.col("c").eqNullSafe(F.col("close_c")))).alias("closing"),
-            F.coalesce("short_hunk", F.lit(False)).alias("hunk"),
-            (F.col("mark").isNotNull() & (F.col("chars_marked").isNotNull() | F.col("bytes_marked").isNotNull())).alias("mark"),
-        )
+    return cut(limits.unionByName(nameless).groupBy("source", "at", "unit").agg(F.min("chance").alias("chance")))
+
+
+def _of_sources(texts: DataFrame) -> DataFrame:
+    """One row a text (key): its tokens last, without its mark if that stands at a limit; what its sources say of it."""
+    # Two tokens that close nearly all texts of a source, blanks and line ends aside.
+    sizes = texts.groupBy("source").agg(F.count("*").alias("texts"))
+    closing = texts.groupBy("source", F.col("last.b").alias("close_b"), F.col("last.c").alias("close_c")).agg(F.count("*").alias("n"))
+    closing = (
+        closing.join(sizes, "source")
+        .where((F.col("texts") >= CLOSING_LEAST) & (F.col("n") >= F.col("texts") * CLOSING_SHARE))
+        .select("source", "close_b", "close_c")
     )
+    limits = _limits(texts)
+    # Tables of a few numbers a row; each row stands for at least LIMIT_LEAST texts. Broadcast up to a checked size.
+    small = F.broadcast if limits.count() <= MOST_LIMITS else (lambda x: x)
+    rows = texts.withColumns(
+        {
+            "chars_bare": F.col("chars") - F.length(F.coalesce("mark", F.lit(""))),
+            "bytes_bare": F.col("bytes") - F.octet_length(F.coalesce("mark", F.lit(""))),
+        }
+    ).join(small(closing) if sizes.count() <= MOST_LIMITS else closing, "source", "left")
+    for column in ("chars", "bytes", "chars_bare", "bytes_bare"):
+        of_unit = limits.where(F.col("unit") == column[:5]).select("source", F.col("at").alias(column), F.col("chance").alias(f"{column}_chance"))
+        rows = rows.join(small(of_unit), ["source", column], "left")
+    at_mark = F.col("mark").isNotNull() & F.coalesce("chars_bare_chance", "bytes_bare_chance").isNotNull()
+    closed = (F.col("last.b") == F.col("close_b")) & (F.col("last.c") == F.col("close_c"))
     # What a source's limit or closing says of a text holds for its copies under all sources.
-    of_text = by_source.groupBy("key").agg(*(F.max(k).alias(k) for k in KINDS))
-    return docs.select("doc_id", "source", "key").join(of_text, "key").select("doc_id", "source", *KINDS)
+    return rows.groupBy("key").agg(
+        F.sum("copies").alias("copies"),
+        F.first("last").alias("last"),
+        F.first("bare").alias("bare"),
+        F.max("short_hunk").alias("short_hunk"),
+        F.min(F.least("chars_chance", "bytes_chance")).alias("chance"),
+        F.max(at_mark).alias("mark"),
+        F.max(F.col("close_c").isNotNull() & ~closed).alias("closing"),
+    )
+
+
+def evidence(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, the KINDS of evidence, and open) for each document whose text is neither null nor blank.
+
+    documents: doc_id, text, source. Copies of a text get the same evidence, whatever their sources, and count once a
+    source where different texts are counted; a null source counts as one of its own, to which the limits of all others
+    apply too; empty, blank and null texts have no row; an empty table gives none; other columns are ignored.
+    """
+    docs = cut(endings(documents.select("doc_id", "text", "source")))
+    any_ = [F.first(c).alias(c) for c in ("chars", "bytes", "mark", "short_hunk", "tail", "last", "bare")]
+    texts = docs.groupBy("source", "key").agg(F.count("*").alias("copies"), *any_)
+    end = F.when(F.col("mark"), F.coalesce("bare", "last")).otherwise(F.col("last"))
+    texts = cut(_of_sources(texts).withColumn("end", end).select("*", "end.*").drop("end", "last", "bare"))
+    inner = cut(inner_trigrams(documents))
+
+    # At most as many as there are texts, and in bytes far less than the trigrams inside.
+    finals = cut(texts.groupBy("a", "b", "c").agg(F.count("*").alias("last")))
+    threes = _successors(inner, finals, ["a", "b"])
+    pair_sums = inner.groupBy("b", "c").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    twos = _successors(pair_sums, finals.groupBy("b", "c").agg(F.sum("last").alias("last")), ["b"])
+    twos = twos.select("b", "c", *(F.col(x).alias(f"pair_{x}") for x in ("last", "inside", "line_ends", "longer")))
+    judged = threes.join(twos, ["b", "c"])
+
+    def rare_end(of: str, least: int, share: float) -> Column:
+        total = F.col(f"{of}inside") + F.col(f"{of}last")
+        return (total >= least) & (F.col(f"{of}line_ends") + F.col(f"{of}last") < total * share)
+
+    def begins(of: str, least: int, times: int) -> Column:
+        return (F.col(f"{of}longer") >= least) & (F.col(f"{of}longer") >= times * (F.col(f"{of}inside") + F.col(f"{of}last") - 1))
+
+    def ends(of: str) -> Column:
+        """Share of ends among where it is met elsewhere; null if that is too rarely."""
+        total = F.col(f"{of}inside") + F.col(f"{of}last") - 1
+        return F.when(total >= USUAL_LEAST, (F.col(f"{of}line_ends") + F.col(f"{of}last") - 1) / total)
+
+    # After a line's end or blanks nothing is begun, and the pieces of data say nothing.
+    silent = F.col("c").isin("\n", "  ", RUN)
+    frequent = F.col("inside") + F.col("last") >= PHRASE_LEAST
+    phrase = ~silent & (rare_end("", PHRASE_LEAST, PHRASE_SHARE) | (~frequent & rare_end("pair_", PAIR_LEAST, PAIR_SHARE)))
+    a_word = F.col("c").rlike(r"\p{L}$") & (F.col("c") != "#")
+    word = ~silent & a_word & (begins("", WORD_LEAST, WORD_TIMES) | begins("pair_", PAIR_WORD_LEAST, PAIR_WORD_TIMES))
+    usual = (F.col("c") == "\n") | ((F.col("c") != RUN) & (F.coalesce(ends(""), ends("pair_"), F.lit(0.0)) >= USUAL_END))
+    judged = judged.select(F.struct("a", "b", "c").alias("end"), "last", word.alias("word"), phrase.alias("phrase"), usual.alias("usual_end"))
+
+    total = texts.count()
+    of_text = lookup(texts.withColumn("end", F.struct("a", "b", "c")), "end", judged, "last", total).select(
+        "key",
+        "copies",
+        "word",
+        "phrase",
+        F.coalesce((F.col("chance") <= CHANCE) | ((F.col("chance") <= 1 / LIMIT_TIMES) & ~F.col("usual_end")), F.lit(False)).alias("limit"),
+        "closing",
+        F.coalesce("short_hunk", F.lit(False)).alias("hunk"),
+        "mark",
+        F.coalesce((F.col("chance") <= 1 / LIMIT_TIMES) & ~F.col("usual_end"), F.lit(False)).alias("open"),
+    )
+    return lookup(docs.select("doc_id", "source", "key"), "key", of_text, "copies", docs.count()).select("doc_id", "source", *KINDS, "open")
 
 
 def truncated(documents: DataFrame) -> DataFrame:
     """(doc_id) of every document whose text is cut."""
-    return evidence(documents).where(" or ".join(KINDS)).select("doc_id")
+    return evidence(documents).where(" or ".join(FOUND)).select("doc_id")
 
 
 def truncation_report(documents: DataFrame) -> DataFrame:
     """(source, documents, cut, share) of the documents whose text is neither null nor blank; '' stands for no source."""
-    cut_ = F.expr(" or ".join(KINDS))
+    cut_ = F.expr(" or ".join(FOUND))
     return (
         evidence(documents)
         .groupBy("source")
