@@ -28,8 +28,9 @@ from facetrank.functions.skew import lookup
 #: Characters of base85, base64 and hex. A run of them with small and capital letters and digits is data, not words.
 DATA = r"[0-9A-Za-z!#$%&()*+\-/;<=>?@^_`{|}~]"
 DATA_RUN = rf"(?<!\S)(?={DATA}*[0-9])(?={DATA}*[a-z])(?={DATA}*[A-Z]){DATA}{{40,}}"
-#: Hashes, data, words of Latin letters, words of other letters, numbers, line ends, runs of blanks, single marks.
-TOKEN = rf"\b(?=[a-f]*[0-9])[0-9a-f]{{7,}}\b|{DATA_RUN}|" + r"\p{IsLatin}+|[\p{L}&&[^\p{IsLatin}]]+|\p{N}+|\n|[ \t]{2,}|[^\s\p{L}\p{N}]"
+HASH = r"\b(?=[a-f]*[0-9])[0-9a-f]{7,}\b"
+#: Words of Latin letters, words of other letters, numbers, line ends, runs of blanks, single marks.
+TOKEN = r"\p{IsLatin}+|[\p{L}&&[^\p{IsLatin}]]+|0|\n|  |[^\s\p{L}\p{N}]"
 #: What stands for a mark that ends a sentence: one with a blank, a line end or nothing after it.
 STOP = "\u241e"
 #: What stands for a run of data.
@@ -62,26 +63,26 @@ def plain(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    found = F.regexp_extract_all(F.regexp_replace(text, r"[.!?](?=\s|$)", STOP), F.lit(f"({TOKEN})"))
-    return F.transform(
-        found,
-        lambda t: F.when(t.rlike(r"^\p{N}+$"), "0")
-        .when(t.rlike("^[ \t]"), "  ")
-        .when(t.rlike("^[0-9a-f]{7,}$") & t.rlike("[0-9]"), "#")
-        .when((F.length(t) >= 40) & t.rlike(rf"^{DATA}+$") & t.rlike("[0-9]"), RUN)
-        .otherwise(t),
-    )
+    """Words and single marks; runs of data, hashes, numbers, runs of blanks and marks that end a sentence are each one kind."""
+    for pattern, stands in ((DATA_RUN, RUN), (HASH, "#"), (r"\p{N}+", "0"), (r"[ \t]{2,}", "  "), (r"[.!?](?=\s|$)", STOP)):
+        text = F.regexp_replace(text, pattern, stands)
+    return F.regexp_extract_all(text, F.lit(f"({TOKEN})"))
+
 
+def _tail(text: Column) -> Column:
+    """Tokens of the text's last characters, from the first blank in them on if that isn't the whole text."""
+    return tokens(F.when(F.length(text) <= TAIL, F.concat(F.lit("\n"), text)).otherwise(F.regexp_replace(F.right(text, F.lit(TAIL)), r"\A\S*", "")))
 
-def last_tokens(text: Column) -> Column:
-    """An array that ends with the last three tokens of the text; a line end stands before the first one.
 
-    They are those of the whole text: of its last characters only what follows the first blank is read, and the whole
-    text is where that isn't four tokens, the first of which may be incomplete.
+def _last(tail: str, text: Column) -> Column:
+    """The last three tokens a, b, c of the text ('' for none); a line end stands before the first one.
+
+    They are those of the whole text, which is read where `tail` isn't four tokens, the first of which may be incomplete.
     """
-    whole = tokens(F.concat(F.lit("\n"), text))
-    tail = tokens(F.regexp_replace(F.right(text, F.lit(TAIL)), r"\A\S*", ""))
-    return F.when(F.length(text) <= TAIL, whole).when(F.size(tail) >= 4, F.slice(tail, -3, 3)).otherwise(whole)
+    found = F.when((F.size(tail) >= 4) | (F.length(text) <= TAIL), F.col(tail)).otherwise(tokens(F.concat(F.lit("\n"), text)))
+    # Padded in front, so that there always are three.
+    three = F.slice(F.concat(F.array(F.lit(""), F.lit("")), found), -3, 3)
+    return F.struct(*(three[i].alias(x) for i, x in enumerate("abc")))
 
 
 def _hunk_missing(text: Column) -> Column:
@@ -113,19 +114,16 @@ def endings(documents: DataFrame) -> DataFrame:
     mark = F.coalesce(*(F.when(F.endswith("_text", F.lit(m)), F.lit(m)) for m in MARKS))
     bare = F.left("_text", F.length("_text") - F.length("mark"))
 
-    def last(tail: str) -> Column:
-        token = lambda i: F.coalesce(F.get(tail, F.size(tail) - i), F.lit(""))
-        return F.struct(token(3).alias("a"), token(2).alias("b"), token(1).alias("c"))
-
     return (
         rows.withColumns({"_hunk": hunk, "mark": mark})
-        .withColumns({"_tail": last_tokens(F.col("_text")), "_bare": F.when(F.col("mark").isNotNull(), last_tokens(bare))})
+        .withColumn("_bare", F.when(F.col("mark").isNotNull(), bare))
+        .withColumns({"_tail": _tail(F.col("_text")), "_bare_tail": F.when(F.col("mark").isNotNull(), _tail(F.col("_bare")))})
         .select(
             "doc_id", "source", "key", "chars", "bytes", "mark",
             missing.alias("short_hunk"),
             F.md5(F.regexp_replace(F.expr(f"right(_text, {LIMIT_TAIL})"), "[0-9]+", "0")).alias("tail"),
-            last("_tail").alias("last"),
-            F.when(F.col("mark").isNotNull(), last("_bare")).alias("bare"),
+            _last("_tail", F.col("_text")).alias("last"),
+            F.when(F.col("mark").isNotNull(), _last("_bare_tail", F.col("_bare"))).alias("bare"),
         )
     )
 
@@ -288,7 +286,7 @@ def evidence(documents: DataFrame) -> DataFrame:
     a_word = F.col("c").rlike(r"\p{L}$") & (F.col("c") != "#")
     word = ~silent & a_word & (begins("", WORD_LEAST, WORD_TIMES) | begins("pair_", PAIR_WORD_LEAST, PAIR_WORD_TIMES))
     usual = (F.col("c") == "\n") | ((F.col("c") != RUN) & (F.coalesce(ends(""), ends("pair_"), F.lit(0.0)) >= USUAL_END))
-    judged = judged.select(F.struct("a", "b", "c").alias("end"), "last", word.alias("word"), phrase.alias("phrase"), usual.alias("usual_end"))
+    judged = cut(judged.select(F.struct("a", "b", "c").alias("end"), "last", word.alias("word"), phrase.alias("phrase"), usual.alias("usual_end")))
 
     total = texts.count()
     of_text = lookup(texts.withColumn("end", F.struct("a", "b", "c")), "end", judged, "last", total).select(
@@ -302,7 +300,7 @@ def evidence(documents: DataFrame) -> DataFrame:
         "mark",
         F.coalesce((F.col("chance") <= 1 / LIMIT_TIMES) & ~F.col("usual_end"), F.lit(False)).alias("open"),
     )
-    return lookup(docs.select("doc_id", "source", "key"), "key", of_text, "copies", docs.count()).select("doc_id", "source", *KINDS, "open")
+    return lookup(docs.select("doc_id", "source", "key"), "key", cut(of_text), "copies", docs.count()).select("doc_id", "source", *KINDS, "open")
 
 
 def truncated(documents: DataFrame) -> DataFrame:
