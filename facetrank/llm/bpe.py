@@ -1,21 +1,25 @@
 """Encoding of texts by a public byte-level BPE vocabulary, as a bounded-lookahead streaming transducer, and back.
 
-A text is encoded in segments that end where a token boundary is certain whatever follows:
+Every text is read in segments of SEGMENT characters, and the tokens of a segment are emitted once nothing that follows
+can change them:
 
 * Between characters of different classes the splitting pattern always ends a piece, but for a blank before a word and
-  an apostrophe before letters. One character of lookahead decides. Nearly every segment ends this way.
+  an apostrophe before letters. One character of lookahead decides. Nearly every segment is emitted up to such a place
+  near its end; what is behind it begins the next one.
 * A run of one class that is longer than a segment is one piece, in which merges may reach far. There the segment is
   encoded, and its tokens are emitted up to the sufficient lookahead of the merge list before its end. The next segment
-  starts after the last token emitted; the seam is checked by encoding the two tokens there together, and moved back if
+  starts after the last token emitted; the seam is checked by merging the tokens there together, and moved back if
   they change. (Tokens are the encoding of their bytes exactly if each two neighbours are that of theirs.)
 
-So the working memory beside the text and its ids is a segment, however long the text or the piece.
+So the working memory beside the text and its ids is a segment, however long the text or the piece. The merges inside a
+segment are those of an installed library; classes of characters are asked of the same library's patterns.
 """
 
 from __future__ import annotations
 
 import base64
-import unicodedata
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +30,15 @@ from pyspark.sql import functions as F
 from facetrank.functions.runtime import ship, spread
 
 #: Characters of a segment.
-SEGMENT = 1 << 16
-#: Bytes of a segment inside a piece that is longer than that.
+SEGMENT = 256
+#: Characters of a segment inside a piece that is longer than that.
 INNER = 1 << 12
 #: Fixed value: the pattern by which byte_bpe_50k splits texts before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: The pieces of that pattern that end inside a run of letters.
+CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -68,108 +75,134 @@ def sufficient_lookahead(ranks: dict[bytes, int]) -> int:
     return best + longest
 
 
-def _class(c: str) -> str:
-    """Class of a character in the splitting pattern: letter, number, blank or other."""
-    if c.isspace() or c == "\x85":
-        return "s"
-    major = unicodedata.category(c)[0]
-    return major if major in "LN" else "o"
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The tokens of a few bytes: the pair of least rank is merged, the first of equal ones, until none is left."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], len(ranks) + 256), i) for i in range(len(parts) - 1))
+        if parts[at] + parts[at + 1] not in ranks:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+class Classes(dict):
+    """Class of a character in the splitting pattern: s for a blank, L for a letter, N for a number, o for others."""
+
+    def __init__(self) -> None:
+        import tiktoken
+
+        # What a pattern doesn't match gives no tokens.
+        single = {bytes([i]): i for i in range(256)}
+        kinds = (("s", r"\s"), ("L", r"\p{L}"), ("N", r"\p{N}"))
+        self.coders = [(k, tiktoken.Encoding(k, pat_str=p, mergeable_ranks=single, special_tokens={})) for k, p in kinds]
+
+    def __missing__(self, c: str) -> str:
+        self[c] = next((k for k, coder in self.coders if coder.encode_ordinary(c)), "o")
+        return self[c]
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], segment: int = SEGMENT, inner: int = INNER) -> None:
         import tiktoken
 
-        self.coder = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.coder = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.within = tiktoken.Encoding("within", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.classes = Classes()
         self.lookahead = sufficient_lookahead(ranks)
         self.segment, self.inner = segment, max(inner, 2 * self.lookahead)
+        self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
 
-    def boundary(self, text: str, first: int, last: int) -> int:
-        """The last place in (first, last] where a piece is certain to end, else `first`."""
-        at = last
-        while at > first:
-            before, after = text[at - 1], text[at] if at < len(text) else ""
-            if not after:
-                return at
-            a, b = _class(before), _class(after)
-            if a != b and a != "s" and not (before == "'" and b == "L"):
-                return at
-            at -= 1
-        return first
-
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text without special tokens; a null or empty text has none."""
-        if not text:
-            return []
-        if len(text) <= self.segment:
-            return self.coder.encode_ordinary(text)
-        return [i for part in self.stream(text) for i in part]
+        out: list[int] = []
+        for part in self.stream(text or ""):
+            out += part
+        return out
 
     def stream(self, text: str) -> Iterator[list[int]]:
-        at = 0
-        while at < len(text):
-            if len(text) - at <= self.segment:
-                yield self.coder.encode_ordinary(text[at:])
-                return
-            end = self.boundary(text, at, at + self.segment)
+        """The ids, segment by segment."""
+        at, size = 0, len(text)
+        while at < size:
+            end = self.boundary(text, at, min(at + self.segment, size))
             if end > at:
                 yield self.coder.encode_ordinary(text[at:end])
                 at = end
             else:
-                piece = self.piece_end(text, at)
-                yield from self.long_piece(text, at, piece)
-                at = piece
+                end = self.piece_end(text, at)
+                yield from self.long_piece(text, at, end)
+                at = end
+
+    def boundary(self, text: str, first: int, last: int) -> int:
+        """The last place in (first, last] where a piece is certain to end, else `first`."""
+        if last == len(text):
+            return last
+        kind = self.classes
+        b = kind[text[last]]
+        for at in range(last, first, -1):
+            a = kind[text[at - 1]]
+            if a != b and a != "s" and not (b == "L" and text[at - 1] == "'"):
+                return at
+            b = a
+        return first
 
     def piece_end(self, text: str, at: int) -> int:
-        """Where the piece that starts at `at` ends, by the classes of its characters."""
-        end = at + 1
-        kind = _class(text[at])
-        if kind == "s" and text[at] == " " and end < len(text) and _class(text[end]) != "s":
-            kind = _class(text[end])
-        while end < len(text) and _class(text[end]) == kind:
+        """Where the piece that starts at `at` ends."""
+        contraction = CONTRACTION.match(text, at)
+        if contraction:
+            return contraction.end()
+        classes, end = self.classes, at + 1
+        kind = classes[text[at]]
+        if text[at] == " " and end < len(text):
+            kind = classes[text[end]]
+        while end < len(text) and classes[text[end]] == kind:
             end += 1
         # Of a run of blanks before other characters, the last blank belongs to what follows.
         return end - 1 if kind == "s" and end < len(text) and end - at > 1 else end
 
     def long_piece(self, text: str, start: int, end: int) -> Iterator[list[int]]:
-        """The ids of one piece, segment by segment of its bytes."""
-        kept = b""
-        held: int | None = None
+        """The ids of one piece, segment by segment."""
+        kept = ""
+        held: list[int] = []
         for a in range(start, end, self.inner):
-            kept += text[a : min(a + self.inner, end)].encode("utf-8", "surrogatepass")
-            final = a + self.inner >= end
-            ids = self.inside(kept)
-            stable = len(ids) if final else self.stable(ids)
-            # The seam: the token held back and the first of these must stay apart when encoded together.
-            if held is not None and stable and self.inside(self.tokens[held] + self.tokens[ids[0]]) != [held, ids[0]]:
-                kept, held = self.tokens[held] + kept, None
-                ids = self.inside(kept)
-                stable = len(ids) if final else self.stable(ids)
-            if final:
-                if held is not None:
-                    yield [held]
-                yield ids
+            kept += text[a : min(a + self.inner, end)]
+            ids = self.within.encode_ordinary(kept)
+            # The seam: the tokens on both sides must stay apart when merged together.
+            if held and not self.apart(held[-1], ids[0]):
+                kept, held = self.bytes_of(held).decode() + kept, []
+                ids = self.within.encode_ordinary(kept)
+            if a + self.inner >= end:
+                yield held + ids
                 return
-            if stable:
-                if held is not None:
-                    yield [held]
-                # One token is held back, so that a seam can still be moved.
-                yield ids[: stable - 1]
-                held = ids[stable - 1]
-                kept = b"".join(self.tokens[i] for i in ids[stable:])
-
-    def stable(self, ids: list[int]) -> int:
-        """Number of the first tokens that end at least the lookahead before the end."""
+            # Places after whole characters, before the stretch that may still change: the last, and one before it.
+            places = self.places(ids)
+            if len(places) < 2:
+                continue
+            yield held + ids[: places[-2]]
+            held = ids[places[-2] : places[-1]]
+            kept = self.bytes_of(ids[places[-1] :]).decode()
+
+    def places(self, ids: list[int]) -> list[int]:
+        """Numbers of first tokens, rising, that end with a whole character at least the lookahead before the end."""
+        out: list[int] = []
         left = 0
-        for n in range(len(ids), 0, -1):
-            if left >= self.lookahead:
-                return n
-            left += len(self.tokens[ids[n - 1]])
-        return 0
+        for n in range(len(ids) - 1, 0, -1):
+            token = self.tokens[ids[n]]
+            left += len(token)
+            # A byte that continues a character has the bits 10 in front.
+            if left >= self.lookahead and token[0] >> 6 != 0b10:
+                out.append(n)
+                if len(out) == 2:
+                    break
+        return out[::-1]
+
+    def apart(self, left: int, right: int) -> bool:
+        a, b = self.tokens[left], self.tokens[right]
+        return merged(a + b, self.ranks) == [a, b]
 
-    def inside(self, piece: bytes) -> list[int]:
-        return self.coder._core_bpe.encode_single_piece(piece)
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return b"".join(self.tokens[i] for i in ids)
 
 
 class Utf8Machine:
@@ -204,7 +237,7 @@ _made: dict[bytes, Transducer] = {}
 
 def _transducer(data: bytes) -> Transducer:
     """One a Python worker and vocabulary."""
-    key = data[:64] + len(data).to_bytes(8, "big")
+    key = hashlib.sha256(data).digest()
     if key not in _made:
         _made[key] = Transducer(load_ranks(data))
     return _made[key]

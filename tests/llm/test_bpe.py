@@ -57,6 +57,44 @@ def test_long_piece_of_random_letters(coder, whole):
     assert [i for part in coder.stream(text) for i in part] == whole(text)
 
 
+SCRIPTS = [
+    *(chr(i) for i in range(33)), "\x7f", "\x85", "\xa0", "\u2028", "\u3000", "'", "'", "'", "s", "t", "re", "ve", "m", "ll", "d", "'s", "'ll", "'LL", "’s",
+    "a", "B", "word", "é", "e\u0301", "\u0301", "я", "слово", "中文", "の", "ก็", "ا", "हि", "ß", "ǅ", "ª", "1", "٣", "Ⅷ", "½", "_", "-", "=", "€", "🎉", "👩\u200d🔬", "\ufe0f", "\ufffd", "\U0001fae8", "\U0002ebf0", "\U0010ffff",
+]
+
+
+@pytest.mark.parametrize("segment", [4, 5, 7, 16, 64])
+def test_segments_of_any_size_give_the_ids_of_the_whole(ranks, coder, segment):
+    rng = random.Random(segment)
+    small = bpe.Transducer(ranks, segment=segment, inner=8)
+    for _ in range(20_000):
+        some = rng.sample(SCRIPTS, rng.randrange(1, 9))
+        text = "".join(rng.choice(some) * rng.choice((1, 1, 1, 2, 5)) for _ in range(rng.randrange(1, 30)))
+        assert small.encode(text) == coder.coder.encode_ordinary(text), (segment, text)
+
+
+def test_classes_are_those_of_the_pattern(coder):
+    assert [coder.classes[c] for c in " \x1c\x85aя中1½'_\u0301🎉"] == list("sosLLLNNoooo")
+
+
+def test_memory_is_a_segment_however_long_the_text(coder):
+    import tracemalloc
+
+    text = "x" * 3_000_000 + " some words of it's own, " * 2_000_000
+    tracemalloc.start()
+    n = sum(len(part) for part in coder.stream(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 50_000_000 and n > 10_000_000 and peak < 2_000_000
+
+
+def test_one_coder_a_vocabulary():
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        multi = f.read()
+    with open(bpe.default_vocabulary(), "rb") as f:
+        assert bpe._transducer(f.read()) is not bpe._transducer(multi)
+
+
 def test_machine_waits_for_whole_characters():
     machine = bpe.Utf8Machine()
     data = "aé中🎉".encode()
