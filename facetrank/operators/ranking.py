@@ -1,8 +1,9 @@
 """Top-k entities by weighted mean similarity over several attributes.
 
-An entity table has one row an id; each criterion names a column expression of it and a query value. Everything is one
-lazy plan: scales and automatic weights are scalar subqueries over bounded candidate lists, the scoring is one scan,
-and the k best come from per-partition heaps.
+An entity table has one row an id; each criterion names a column expression of it and a query value. A search scans the
+table twice at most, whatever the number of attributes: one aggregate with bounded heaps gives the nearest distances of
+all attributes, and with them scales, automatic weights and lists; then one scan scores all rows with these as literals
+(or fetches the values of the k results), and the k best come from per-partition heaps.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetrank.functions import measures
+from facetrank.functions.runtime import cut, width
 from facetrank.functions.text import qgrams
+from facetrank.functions.topk import smallest
 
 ALGORITHMS = ("threshold", "partial_random_access", "no_random_access", "pivot_based")
 
@@ -67,11 +70,13 @@ class Criterion:
         return measures.metric(self.metric)(a, b)
 
 
-def resolved(entities: DataFrame, criterion: Criterion) -> Criterion:
-    """A criterion whose query value `max` is replaced by the greatest value there is."""
-    if criterion.kind in ("number", "date") and criterion.query == "max":
-        return replace(criterion, query=entities.agg(F.max(criterion.value)).scalar())
-    return criterion
+def resolved(entities: DataFrame, criteria: Sequence[Criterion]) -> tuple[Criterion, ...]:
+    """Criteria whose query value `max` is replaced by the greatest value there is."""
+    asked = [j for j, c in enumerate(criteria) if c.kind in ("number", "date") and c.query == "max"]
+    if not asked:
+        return tuple(criteria)
+    most = entities.agg(*(F.max(criteria[j].value).cast("double").alias(f"m{j}") for j in asked)).first()
+    return tuple(replace(c, query=most[f"m{j}"]) if j in asked else c for j, c in enumerate(criteria))
 
 
 def distances(entities: DataFrame, criterion: Criterion) -> DataFrame:
@@ -79,23 +84,34 @@ def distances(entities: DataFrame, criterion: Criterion) -> DataFrame:
     return entities.select("id", criterion.value.alias("v")).select("id", criterion.between(F.col("v"), criterion.literal()).alias("d"))
 
 
-def listed(entities: DataFrame, criterion: Criterion, length: int) -> DataFrame:
-    """(id, d): the `length` entities nearest by one attribute. Sets without a common element aren't listed."""
-    near = distances(entities, criterion).where("d is not null and not isnan(d)")
-    if criterion.sets:
-        near = near.where(F.col("d") < 1 - 1e-6)
-    return near.orderBy("d", "id").limit(length)
+def _counts(criterion: Criterion, d: Column) -> Column:
+    """Whether an entity at that distance can be in the attribute's list. Sets without a common element aren't listed."""
+    there = d.isNotNull() & ~F.isnan(d)
+    return there & (d < 1 - 1e-6) if criterion.sets else there
 
 
-def scale_of(entities: DataFrame, criterion: Criterion, k: int) -> Column:
-    """The scale given, else the distance of the k-th nearest entity; if that is 0, the least positive distance."""
-    if criterion.scale is not None and criterion.scale > 0:
-        return F.lit(float(criterion.scale))
-    kth = listed(entities, criterion, k).agg(F.max("d")).scalar()
-    positive = distances(entities, criterion).where("d > 0 and not isnan(d)")
-    if criterion.sets:
-        positive = positive.where(F.col("d") < 1 - 1e-6)
-    return F.coalesce(F.nullif(kth, F.lit(0.0)), positive.agg(F.min("d")).scalar())
+def listed(entities: DataFrame, criterion: Criterion, length: int) -> DataFrame:
+    """(id, d): the `length` entities nearest by one attribute."""
+    return distances(entities, criterion).where(_counts(criterion, F.col("d"))).orderBy("d", "id").limit(length)
+
+
+def nearest(entities: DataFrame, criteria: Sequence[Criterion], length: int, ids: bool = True) -> DataFrame:
+    """(j, near ARRAY<STRUCT<d[, id]>>, positive): of each criterion its `length` nearest entities, nearest first, and
+    its least positive distance. One scan for all criteria; tasks send on a heap of `length` for each."""
+    rows = entities.select("id", *(c.value.alias(f"v{j}") for j, c in enumerate(criteria)))
+    rows = rows.select("id", *(c.between(F.col(f"v{j}"), c.literal()).alias(f"d{j}") for j, c in enumerate(criteria)))
+    rows = rows.withColumn("_slice", F.spark_partition_id() % width(entities.sparkSession))
+    aggregates = []
+    for j, c in enumerate(criteria):
+        d = F.col(f"d{j}")
+        item = F.struct(d.alias("d"), F.col("id")) if ids else F.struct(d.alias("d"))
+        counts = _counts(c, d)
+        aggregates += [smallest(F.when(counts, item), length).alias(f"n{j}"), F.min(F.when(counts & (d > 0), d)).alias(f"p{j}")]
+    # Heaps meet in as many tasks as there are slices before they meet in one a criterion.
+    sliced = rows.groupBy("_slice").agg(*aggregates)
+    each = F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"n{j}").alias("near"), F.col(f"p{j}").alias("positive")) for j in range(len(criteria))))
+    parts = sliced.select(F.explode(each).alias("x")).select("x.j", "x.positive", F.explode_outer("x.near").alias("near"))
+    return parts.groupBy("j").agg(smallest(F.col("near"), length).alias("near"), F.min("positive").alias("positive"))
 
 
 def automatic_weight(scores: DataFrame, k: int) -> Column:
@@ -115,13 +131,9 @@ def automatic_weight(scores: DataFrame, k: int) -> Column:
 
 def score_statistics(entities: DataFrame, p: Prepared) -> DataFrame:
     """(name, n, min, max, avg, stdev) of the scores in each attribute's list."""
-    parts = [
-        listed(entities, c, p.length).select(F.lit(c.name).alias("name"), p.similarity(j, F.col("d")).alias("s")) for j, c in enumerate(p.criteria)
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionAll(part)
-    return rows.groupBy("name").agg(
+    near = nearest(entities, p.criteria, p.length) if p.near is None else p.near
+    name = F.get(F.array(*(F.lit(c.name) for c in p.criteria)), F.col("j"))
+    return _list_scores(near, p).groupBy(name.alias("name")).agg(
         F.count("*").alias("n"), F.min("s").alias("min"), F.max("s").alias("max"), F.avg("s").alias("avg"), F.stddev_samp("s").alias("stdev")
     )
 
@@ -161,6 +173,9 @@ class Prepared:
     scales: tuple[Column, ...]
     weights: tuple[tuple[Column, ...], ...]
     length: int
+    #: The lists (see `nearest`), where they were asked for, and the distance of each one's last entity.
+    near: DataFrame | None = None
+    last: tuple[float | None, ...] = ()
 
     def similarity(self, j: int, distance: Column) -> Column:
         c = self.criteria[j]
@@ -170,7 +185,9 @@ class Prepared:
         return sum((w[combo] for w in self.weights), F.lit(0.0))
 
 
-def prepare(entities: DataFrame, criteria: Sequence[Criterion], k: int, length: int | None = None) -> Prepared:
+def prepare(entities: DataFrame, criteria: Sequence[Criterion], k: int, length: int | None = None, lists: bool = False) -> Prepared:
+    """Scales and weights as literals. Scale: the one given, else the distance of the k-th nearest entity; if that is 0,
+    the least positive distance. One scan, or none if all scales and weights are given and no lists are asked for."""
     if k < 1:
         raise ValueError("k must be positive")
     if not criteria:
@@ -178,22 +195,34 @@ def prepare(entities: DataFrame, criteria: Sequence[Criterion], k: int, length:
     if len(criteria) > 1 and k > measures.MOST_RESULTS:
         raise ValueError(f"k must not exceed {measures.MOST_RESULTS} with several attributes")
     check_weights(criteria)
-    criteria = tuple(resolved(entities, c) for c in criteria)
-    length = length or (k * measures.INFLATION if len(criteria) > 1 else k)
     n = _combinations(criteria)
-    scales = tuple(scale_of(entities, c, k) for c in criteria)
+    criteria = resolved(entities, criteria)
+    length = length or (k * measures.INFLATION if len(criteria) > 1 else k)
+    automatic = [j for j, c in enumerate(criteria) if not c.weights and len(criteria) > 1]
+    lists = lists or bool(automatic)
+    given = [c.scale is not None and c.scale > 0 for c in criteria]
+    near, of = None, {}
+    if lists or not all(given):
+        near = nearest(entities, criteria, max(k, length) if lists else k, ids=lists)
+        near = cut(near) if lists else near
+        at = lambda i: F.get("near", i)["d"]
+        size = F.size("near")
+        kth, last = at(F.least(F.lit(k), size) - 1), at(F.least(F.lit(length), size) - 1)
+        of = {r["j"]: r for r in near.select("j", "positive", kth.alias("kth"), last.alias("last")).collect()}
+    found = [of[j]["kth"] or of[j]["positive"] if j in of else None for j in range(len(criteria))]
+    scales = tuple(F.lit(float(c.scale) if g else f).cast("double") for c, g, f in zip(criteria, given, found))
+    p = Prepared(criteria, scales, (), length, near if lists else None, tuple(of[j]["last"] if j in of else None for j in range(len(criteria))))
+    made = {}
+    if automatic:
+        scores = _list_scores(near, p)
+        values = (automatic_weight(scores.where(F.col("j") == j).select("s"), k).alias(str(j)) for j in automatic)
+        made = entities.sparkSession.range(1).select(*values).first().asDict()
     weights = []
-    for c, scale in zip(criteria, scales):
-        if c.weights:
-            some = tuple(F.lit(float(w)) for w in c.weights)
-            weights.append(some * n if len(some) == 1 else some)
-        elif len(criteria) == 1:
-            weights.append((F.lit(1.0),) * n)
-        else:
-            near = listed(entities, c, length)
-            scores = near.select(measures.similarity(F.col("d"), scale, c.decay, c.sets).alias("s"))
-            weights.append((automatic_weight(scores, k),) * n)
-    return Prepared(criteria, scales, tuple(weights), length)
+    for j, c in enumerate(criteria):
+        some = c.weights or ((made[str(j)],) if j in automatic else (1.0,))
+        columns = tuple(F.lit(w).cast("double") for w in some)
+        weights.append(columns * n if len(columns) == 1 else columns)
+    return replace(p, weights=tuple(weights))
 
 
 def _scored(entities: DataFrame, p: Prepared, extra: Sequence[str] = ()) -> DataFrame:
@@ -227,13 +256,14 @@ def _mean(p: Prepared, combo: int, part) -> Column:
 
 def singleton(entities: DataFrame, criterion: Criterion, k: int, extra: Sequence[str] = ()) -> DataFrame:
     """One attribute: its nearest entities, scored by similarity."""
-    p = prepare(entities, [criterion], k)
-    rows = _scored(entities, p, extra).where("d0 is not null and not isnan(d0)")
-    if criterion.sets:
-        rows = rows.where(F.col("d0") < 1 - 1e-6)
-    first = rows.orderBy("d0", "id").limit(k)
+    return _singleton(entities, prepare(entities, [criterion], k), k, extra)
+
+
+def _singleton(entities: DataFrame, p: Prepared, k: int, extra: Sequence[str]) -> DataFrame:
+    rows = _scored(entities, p, extra)
+    first = rows.where(_counts(p.criteria[0], F.col("d0"))).orderBy("d0", "id").limit(k)
     order = Window.orderBy("d0", "id")
-    n = _combinations([criterion])
+    n = len(p.weights[0])
     out = first.withColumns({"rank": F.row_number().over(order).cast("bigint"), "score": F.col("s0"), "exact": F.lit(True)})
     return out.withColumn("combo", F.explode(F.array(*(F.lit(i) for i in range(n)))))
 
@@ -246,59 +276,60 @@ def threshold(entities: DataFrame, criteria: Sequence[Criterion], k: int, extra:
     return _best(_scored(entities, p, extra), p, k, means, means, [F.lit(True)] * n), p
 
 
-def _lists(entities: DataFrame, p: Prepared) -> DataFrame:
-    """id and, for each attribute, the entity's score l<j> in the attribute's list, null if it isn't in it."""
-    parts = [
-        listed(entities, c, p.length).select("id", F.lit(j).alias("j"), p.similarity(j, F.col("d")).alias("s"))
-        for j, c in enumerate(p.criteria)
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionAll(part)
-    return rows.groupBy("id").agg(*(F.max(F.when(F.col("j") == j, F.col("s"))).alias(f"l{j}") for j in range(len(parts))))
+def _list_scores(near: DataFrame, p: Prepared) -> DataFrame:
+    """(j, id, s): the entities of the lists and their scores there."""
+    rows = near.select("j", F.explode(F.slice("near", 1, p.length)).alias("x")).select("j", "x.*")
+    score = F.lit(None).cast("double")
+    for j in range(len(p.criteria)):
+        score = F.when(F.col("j") == j, p.similarity(j, F.col("d"))).otherwise(score)
+    return rows.withColumn("s", score).drop("d")
 
 
-def _with_values(found: DataFrame, entities: DataFrame, p: Prepared, extra: Sequence[str]) -> DataFrame:
-    """Values and facet scores of the at most k rows of each combination."""
-    return F.broadcast(found).join(_scored(entities, p, extra), "id", "left")
+def _by_bounds(entities: DataFrame, criteria: Sequence[Criterion], k: int, extra: Sequence[str], length: int | None, middle: bool) -> tuple[DataFrame, Prepared]:
+    """By the attributes' lists only. An entity's score is at least that of its attributes that are listed, and at most
+    that with the lowest score of the list for each other one. Ranked by the middle of the two, or by the lower bound.
 
-
-def partial_random_access(entities: DataFrame, criteria: Sequence[Criterion], k: int, extra: Sequence[str] = (), length: int | None = None) -> tuple[DataFrame, Prepared]:
-    """By the attributes' lists only: what an entity's score is at least and at most, ranked by the middle of the two.
-
-    An attribute in whose list it is missing counts at most the list's lowest score. exact: it is in all lists.
+    The lists have at most `length` entities each, so the windows over a combination's candidates are bounded.
     """
-    p = prepare(entities, criteria, k, length)
-    m, n = len(p.criteria), len(p.weights[0])
-    lowest = [F.coalesce(_lowest(entities, p, j), F.lit(0.0)) for j in range(m)]
-    low = [_mean(p, i, lambda j: F.coalesce(F.col(f"l{j}"), F.lit(0.0))) for i in range(n)]
-    high = [_mean(p, i, lambda j: F.coalesce(F.col(f"l{j}"), lowest[j])) for i in range(n)]
-    middle = [(a + b) / 2 for a, b in zip(low, high)]
-    known = _all_known(m)
-    found = _best(_lists(entities, p), p, k, middle, middle, [known] * n)
-    return _with_values(found.select("id", "combo", "rank", "score", "exact"), entities, p, extra), p
-
-
-def no_random_access(entities: DataFrame, criteria: Sequence[Criterion], k: int, extra: Sequence[str] = (), length: int | None = None) -> tuple[DataFrame, Prepared]:
-    """By the attributes' lists only: ranked by what an entity's score is at least. exact: it is in all lists."""
-    p = prepare(entities, criteria, k, length)
+    p = prepare(entities, criteria, k, length, lists=True)
     m, n = len(p.criteria), len(p.weights[0])
-    low = [_mean(p, i, lambda j: F.coalesce(F.col(f"l{j}"), F.lit(0.0))) for i in range(n)]
-    known = _all_known(m)
-    found = _best(_lists(entities, p), p, k, low, low, [known] * n)
-    return _with_values(found.select("id", "combo", "rank", "score", "exact"), entities, p, extra), p
+    known = _list_scores(p.near, p).groupBy("id").agg(*(F.max(F.when(F.col("j") == j, F.col("s"))).alias(f"l{j}") for j in range(m)))
+    lowest = [p.similarity(j, F.lit(p.last[j]).cast("double")) for j in range(m)]
+    bounds = F.array(
+        *(
+            F.struct(
+                F.lit(i).alias("combo"),
+                F.round(_mean(p, i, lambda j: F.coalesce(F.col(f"l{j}"), F.lit(0.0))), 9).alias("low"),
+                F.round(_mean(p, i, lambda j: F.coalesce(F.col(f"l{j}"), lowest[j])), 9).alias("high"),
+                _mean(p, i, lambda j: F.coalesce(F.col(f"l{j}"), (lowest[j] / 2) if middle else F.lit(0.0))).alias("score"),
+            )
+            for i in range(n)
+        )
+    )
+    rows = known.select("id", F.explode(bounds).alias("b")).select("id", "b.*")
+    order = Window.partitionBy("combo").orderBy(F.round("score", 9).desc(), "id")
+    sure = F.col("low") == F.col("high")
+    if not middle:
+        others = F.max("high").over(order.rowsBetween(1, Window.unboundedFollowing))
+        sure = sure & (F.col("low") >= F.coalesce(others, F.lit(0.0)))
+    ranked = rows.withColumns({"rank": F.row_number().over(order).cast("bigint"), "_sure": sure})
+    # A result is exact if its score is certain and so are those before it.
+    ranked = ranked.withColumn("exact", F.min("_sure").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = ranked.where(F.col("rank") <= k).select("id", "combo", "rank", "score", "exact")
+    # At most k rows a combination; all of them are entities.
+    return _scored(entities, p, extra).join(F.broadcast(found), "id"), p
 
 
-def _all_known(m: int) -> Column:
-    known = F.lit(True)
-    for j in range(m):
-        known = known & F.col(f"l{j}").isNotNull()
-    return known
+def partial_random_access(entities: DataFrame, criteria: Sequence[Criterion], k: int, extra: Sequence[str] = (), length: int | None = None) -> tuple[DataFrame, Prepared]:
+    """Lists only, ranked by the middle of the bounds. exact: the entity is in all lists that count, and so are all
+    before it; as they are ranked by the middle, no other can be better."""
+    return _by_bounds(entities, criteria, k, extra, length, middle=True)
 
 
-def _lowest(entities: DataFrame, p: Prepared, j: int) -> Column:
-    near = listed(entities, p.criteria[j], p.length)
-    return near.select(p.similarity(j, F.col("d")).alias("s")).agg(F.min("s")).scalar()
+def no_random_access(entities: DataFrame, criteria: Sequence[Criterion], k: int, extra: Sequence[str] = (), length: int | None = None) -> tuple[DataFrame, Prepared]:
+    """Lists only, ranked by the lower bound. exact: the entity is in all lists that count, no entity after it has a
+    greater upper bound, and so it is for all before it."""
+    return _by_bounds(entities, criteria, k, extra, length, middle=False)
 
 
 def rank(entities: DataFrame, criteria: Sequence[Criterion], k: int, algorithm: str = "threshold", extra: Sequence[str] = (), length: int | None = None) -> tuple[DataFrame, Prepared]:
@@ -310,7 +341,7 @@ def rank(entities: DataFrame, criteria: Sequence[Criterion], k: int, algorithm:
     entities = entities.where("id is not null")
     if len(criteria) == 1:
         p = prepare(entities, criteria, k)
-        return singleton(entities, criteria[0], k, extra), p
+        return _singleton(entities, p, k, extra), p
     run = {"threshold": threshold, "partial_random_access": partial_random_access, "no_random_access": no_random_access}
     if algorithm not in run:
         raise ValueError(f"unknown algorithm {algorithm}")

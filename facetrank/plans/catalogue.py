@@ -180,11 +180,17 @@ class Ranked:
                 )
                 low = lambda i: mean(i, lambda j: f"coalesce(t{j}, 0)")
                 high = lambda i: mean(i, lambda j: f"coalesce(t{j}, (select coalesce(min(t{j}), 0) from t))")
-                known = " and ".join(f"t{j} is not null" for j in range(m))
-                middle = self.algorithm == "partial_random_access"
-                each = [f"select {i} combo, id, {f'({low(i)} + {high(i)}) / 2' if middle else low(i)} score, {known} exact from t" for i in range(combos)]
+                half = " + {high}" if self.algorithm == "partial_random_access" else " * 2"
+                each = [f"select {i} combo, id, round({low(i)}, 9) low, round({high(i)}, 9) high, ({low(i)}{half.format(high=high(i))}) / 2 score from t" for i in range(combos)]
             scored = " union all ".join(f"select *, round(score, 9) o from ({x})" for x in each)
-        parts.append(f"r as (select *, row_number() over (partition by combo order by {order}) rank from ({scored}))")
+        if m == 1 or self.algorithm == "threshold":
+            parts.append(f"r as (select *, row_number() over (partition by combo order by {order}) rank from ({scored}))")
+        else:
+            # A score is certain if the bounds agree; by lower bounds, nothing that follows may have a greater upper bound.
+            after = f" and low >= coalesce(max(high) over (partition by combo order by {order} rows between 1 following and unbounded following), 0)"
+            sure = "low = high" + (after if self.algorithm == "no_random_access" else "")
+            parts.append(f"b as (select *, row_number() over (partition by combo order by {order}) rank, {sure} sure from ({scored}))")
+            parts.append("r as (select combo, id, score, rank, bool_and(sure) over (partition by combo order by rank rows unbounded preceding) exact from b)")
         facets = "".join(f", round(s{j}, 6) {f.name}_score" for j, f in enumerate(self.facets))
         shown = "".join(f", round(v{j}, 6) {f.name}_value" for j, f in enumerate(self.facets) if f.kind in ("number", "date"))
         return f"with {', '.join(parts)}\nselect combo, rank, id, round(score, 6) score, exact{facets}{shown}{extra} from r join s using (id) where rank <= {k}"

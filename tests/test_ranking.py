@@ -112,3 +112,63 @@ def test_sets_without_common_elements(spark):
     assert ids(found) == ["a", "e"]
     found, _ = ranking.rank(rows, [Criterion("n", "text", F.col("id"), "a")], 5)
     assert ids(found) in ([], ["a", "b", "c", "d", "e"])
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("algorithm", ["threshold", "partial_random_access", "no_random_access"])
+@pytest.mark.parametrize("weights", [None, (0.5,), (0.5, 0.1)])
+def test_two_scans_and_no_shuffle_of_the_entities(spark, data, algorithm, weights):
+    entities = spark.read.parquet(f"{data}/orders.parquet").withColumn("id", F.col("o_orderkey").cast("string"))
+    criteria = [
+        Criterion("price", "number", F.col("o_totalprice").cast("double"), 150000, weights),
+        Criterion("day", "date", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double"), 8.3e8, weights),
+        Criterion("status", "keywords", F.array("o_orderstatus"), ["F"], weights),
+    ]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        statistics = plan_of(ranking.nearest(entities, criteria, 1000))
+        found, _ = ranking.rank(entities, criteria, 5, algorithm, extra=("o_custkey",))
+        plan = plan_of(found)
+        assert statistics.count("FileScan parquet") == 1 and plan.count("FileScan parquet") == 1
+        assert "SortMergeJoin" not in plan and found.count() == 5 * len(weights or (1,))
+        if algorithm != "threshold":
+            assert "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def bounded(algorithm, lists, k):
+    """(id, score, exact) by brute force from (id, score) lists of two attributes with weights 1 and 1."""
+    known = [dict(x) for x in lists]
+    lowest = [min(x.values()) for x in known]
+    rows = []
+    for i in {i for x in known for i in x}:
+        low = sum(x.get(i, 0) for x in known) / 2
+        high = sum(x.get(i, least) for x, least in zip(known, lowest)) / 2
+        rows.append((i, low, high, (low + high) / 2 if algorithm == "partial_random_access" else low))
+    rows.sort(key=lambda r: (-round(r[3], 9), r[0]))
+    out, sure = [], True
+    for n, (i, low, high, score) in enumerate(rows[:k]):
+        rest = max((r[2] for r in rows[n + 1 :]), default=0) if algorithm == "no_random_access" else 0
+        sure = sure and round(low, 9) == round(high, 9) and low >= rest - 1e-9
+        out.append((i, round(score, 6), sure))
+    return out
+
+
+@pytest.mark.parametrize("algorithm", ["partial_random_access", "no_random_access"])
+def test_bounds_decide_what_is_exact(spark, algorithm):
+    import random
+
+    rng = random.Random(4)
+    data = [(f"{i:03}", float(rng.randrange(60)), float(rng.randrange(60))) for i in range(200)]
+    table = spark.createDataFrame(data, "id string, x double, y double")
+    criteria = [Criterion(c, "number", F.col(c), 0.0, (1.0,), decay=1.0, scale=20.0) for c in "xy"]
+    found, _ = ranking.rank(table, criteria, 30, algorithm, length=80)
+    got = [(r["id"], round(r["score"], 6), r["exact"]) for r in found.orderBy("rank").collect()]
+    near = [sorted((r[j], r[0]) for r in data)[:80] for j in (1, 2)]
+    want = bounded(algorithm, [[(i, math.exp(-d / 20)) for d, i in x] for x in near], 30)
+    assert got == want and {e for _, _, e in got} == {True, False}
