@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetrank.functions import measures
+from facetrank.functions.runtime import cut
+from facetrank.functions.topk import smallest
+from facetrank.operators.ranking import automatic_weight
 
 #: Pivots in all, rows of the sample.
 PIVOTS, SAMPLE = 8, 500
@@ -162,11 +165,21 @@ class Wanted:
 
     name: str
     value: tuple[float, ...] | None
-    weights: tuple[float, ...] = (1.0,)
+    #: None: found from the sample's scores.
+    weights: tuple[float, ...] | None = (1.0,)
     scale: float | None = None
     decay: float = measures.DECAY
 
 
+def _weighted(sample: DataFrame, wanted: Sequence[Wanted], scales: Sequence[float], k: int) -> list[Wanted]:
+    """Attributes without weights get the percentile 100 - 100 k / N of their N scores in the sample (see
+    `automatic_weight`); a value that is missing has no score."""
+    asked = [j for j, w in enumerate(wanted) if w.weights is None]
+    scores = {j: sample.where(f"d{j} is not null").select(F.exp(-F.lit(float(wanted[j].decay)) * F.col(f"d{j}") / scales[j]).alias("s")) for j in asked}
+    made = sample.sparkSession.range(1).select(*(automatic_weight(s, k).alias(str(j)) for j, s in scores.items())).first()
+    return [replace(w, weights=(made[str(j)] or 0.0,)) if j in asked else w for j, w in enumerate(wanted)]
+
+
 def search(
     rows: DataFrame, metrics: Sequence[Metric], wanted: Sequence[Wanted], k: int, bound: bool = False, extra: Sequence[str] = ()
 ) -> DataFrame:
@@ -175,6 +188,7 @@ def search(
     rows: id, vector columns, and pivot distances if `bound`. Distance: sum of w d / scale over the attributes a row
     has, divided by the sum of all weights. Score: sum of w exp(-decay d / scale) over them, divided likewise.
     With `bound`, an upper bound from the rows of a sample limits the pivot distances; rows that lack an attribute pass.
+    Attributes without weights get them from the sample. The sample: the SAMPLE first rows by a hash of their id.
     """
     by_name = {m.name: m for m in metrics}
     wanted = [w for w in wanted if w.value is not None]
@@ -185,32 +199,41 @@ def search(
         raise ValueError(f"not indexed: {', '.join(unknown)}")
     if k < 1 or (len(wanted) > 1 and k > measures.MOST_RESULTS):
         raise ValueError("k must be positive, and not above 50 with several attributes")
+    scales = [w.scale or by_name[w.name].scale for w in wanted]
+    d = {f"d{j}": measures.metric(by_name[w.name].metric)(F.col(w.name), _vector(w.value)) for j, w in enumerate(wanted)}
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", *(c.alias(n) for n, c in d.items()))
+    if any(w.weights is None for w in wanted):
+        sample = cut(sample)
+        wanted = _weighted(sample, wanted, scales, k)
     n = max(len(w.weights) for w in wanted)
+    each = [[w.weights[i] if len(w.weights) > 1 else w.weights[0] for w in wanted] for i in range(n)]
+
+    def whole(weight: Sequence[float]) -> Column:
+        parts = (weight[j] * F.coalesce(F.col(f"d{j}") / scales[j], F.lit(0.0)) for j in range(len(wanted)))
+        return sum(parts, F.lit(0.0)) / (sum(weight) or 1.0)
+
+    # The k-th nearest of the sample bounds how far the k nearest of all rows are; one scan for all combinations.
+    reached = sample.agg(*(smallest(whole(weight), k).alias(f"r{i}") for i, weight in enumerate(each))).first() if bound else None
     results = []
-    for i in range(n):
-        weight = [w.weights[i] if len(w.weights) > 1 else w.weights[0] for w in wanted]
+    for i, weight in enumerate(each):
         total = sum(weight)
-        scale = [w.scale or by_name[w.name].scale for w in wanted]
-        d = {f"d{j}": measures.metric(by_name[w.name].metric)(F.col(w.name), _vector(w.value)) for j, w in enumerate(wanted)}
-        whole = sum((weight[j] * F.coalesce(F.col(f"d{j}") / scale[j], F.lit(0.0)) for j in range(len(wanted))), F.lit(0.0)) / (total or 1.0)
+        scale = scales
         candidates = rows
-        if bound and total > 0:
-            some = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).withColumns(d).select(whole.alias("d")).orderBy("d").limit(k)
-            limits = some.agg(F.max("d").alias("d"), F.count("*").alias("n")).first()
-            if limits["n"] == k:
-                for j, w in enumerate(wanted):
-                    m = by_name[w.name]
-                    if weight[j] > 0:
-                        reach = limits["d"] * total * scale[j] / weight[j] * (1 + 1e-9) + 1e-12
-                        here = distances(np.array([w.value], dtype=float), np.array(m.pivots), m.metric)[0]
-                        for column, at in zip(m.columns, here):
-                            candidates = candidates.where(F.col(column).isNull() | F.col(column).between(float(at - reach), float(at + reach)))
+        if bound and total > 0 and len(reached[f"r{i}"]) == k:
+            for j, w in enumerate(wanted):
+                m = by_name[w.name]
+                if weight[j] > 0:
+                    reach = reached[f"r{i}"][-1] * total * scale[j] / weight[j] * (1 + 1e-9) + 1e-12
+                    here = distances(np.array([w.value], dtype=float), np.array(m.pivots), m.metric)[0]
+                    for column, at in zip(m.columns, here):
+                        inside = F.col(f"`{column}`").between(float(at - reach), float(at + reach))
+                        candidates = candidates.where(F.col(f"`{column}`").isNull() | inside)
         parts = [
             weight[j] * F.coalesce(F.exp(-F.lit(float(w.decay)) * F.col(f"d{j}") / scale[j]), F.lit(0.0)) for j, w in enumerate(wanted)
         ]
         near = (
             candidates.withColumns(d)
-            .withColumn("distance", whole)
+            .withColumn("distance", whole(weight))
             .orderBy(F.round("distance", 12), "id")
             .limit(k)
             .withColumns({f"s{j}": parts[j] / weight[j] if weight[j] else F.exp(-F.lit(float(w.decay)) * F.coalesce(F.col(f"d{j}"), F.lit(0.0)) / scale[j]) for j, w in enumerate(wanted)})

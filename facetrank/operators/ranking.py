@@ -230,7 +230,7 @@ def _scored(entities: DataFrame, p: Prepared, extra: Sequence[str] = ()) -> Data
     rows = entities.select(
         "id",
         *(c.value.alias(f"v{j}") for j, c in enumerate(p.criteria)),
-        *(F.col(e).alias(f"x_{e}") for e in extra),
+        *(F.col(f"`{e}`").alias(f"x_{e}") for e in extra),
     ).withColumns({f"d{j}": c.between(F.col(f"v{j}"), c.literal()) for j, c in enumerate(p.criteria)})
     return rows.withColumns({f"s{j}": p.similarity(j, F.col(f"d{j}")) for j in range(len(p.criteria))})
 

@@ -1,14 +1,17 @@
 """Mounted attributes and searches on them.
 
 Attributes of the same table and key are columns of one scan. Those of different tables are brought together by a full
-outer join on the key, which keeps entities that some tables lack.
+outer join on the key, which keeps entities that some tables lack. When a table is mounted, its keys are counted once: if
+some repeat, the one row of each that counts is chosen then and kept, so that no search groups the table again. Pivot
+attributes are embedded and stored as ranged files when they are first searched.
 """
 
 from __future__ import annotations
 
 import json
 import time
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from typing import Any
 
@@ -16,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetrank.functions import measures, values
+from facetrank.functions.runtime import cut, shared_folder, within
 from facetrank.operators import pivot, ranking
 from facetrank.operators.normalize import normalized
 from facetrank.operators.vectors import keyword_vectors
@@ -55,29 +59,9 @@ class Response:
 
     def collect(self) -> list[dict]:
         """The nested rows; a search that takes longer than the time-out is cancelled and raises TimeoutError."""
-        import threading
-
-        spark = self.rows.sparkSession
-        tag = f"facetrank-{id(self)}-{time.time_ns()}"
-        late = threading.Event()
-
-        def cancel() -> None:
-            late.set()
-            spark.interruptTag(tag)
-
-        timer = threading.Timer(self.timeout / 1000, cancel)
         began = time.time()
-        spark.addTag(tag)
-        timer.start()
-        try:
+        with within(self.rows.sparkSession, self.timeout):
             found = [r.asDict(recursive=True) for r in self.nested.collect()]
-        except Exception as e:
-            if late.is_set():
-                raise TimeoutError(f"the search took more than {self.timeout} ms") from e
-            raise
-        finally:
-            timer.cancel()
-            spark.removeTag(tag)
         self.seconds = time.time() - began
         found.sort(key=lambda r: (r["combo"], r["rank"]))
         for combo in sorted({r["combo"] for r in found} or {0}):
@@ -99,6 +83,9 @@ class Engine:
         self.created = datetime.now(timezone.utc)
         self.warnings: list[str] = []
         self._tables: dict[tuple, DataFrame] = {}
+        self._rows: dict[tuple, DataFrame] = {}
+        self._dates: dict[tuple[str, str], bool] = {}
+        self._stored: DataFrame | None = None
         self._added: dict[tuple[str, str], list[DataFrame]] = {}
 
     # Catalog
@@ -120,27 +107,36 @@ class Engine:
         for raw in request.get("search") or ():
             try:
                 spec = AttributeSpec.of(raw)
+                if spec.column == "id":
+                    raise ValueError("an attribute can't be called id; give it a name by alias_column")
                 if spec.identity in self.attributes:
                     raise ValueError(f"{spec.column} is mounted already for {spec.operation}")
                 if spec.dataset not in self.given and spec.source not in self.sources:
                     raise ValueError(f"unknown source {spec.source}")
                 table = self.table(spec)
-                missing = [c for c in (*spec.columns, spec.key or table.columns[0]) if c not in table.columns]
+                key = spec.key or table.columns[0]
+                if not spec.columns:
+                    spec = replace(spec, columns=tuple(c for c in table.columns if c != key))
+                missing = [c for c in (*spec.columns, key) if c not in table.columns]
                 if missing:
                     raise ValueError(f"{spec.dataset} has no column {', '.join(missing)}")
+                self.rows(spec)
             except ValueError as e:
                 said.append(str(e))
                 continue
             self.attributes[spec.identity] = spec
         if any(a.operation == "pivot_based" for a in self.attributes.values()):
-            self.metrics = ()
+            self._forget_index()
         self.warnings += said
         return said
 
     def add_rows(self, column: str, operation: str, rows: DataFrame) -> None:
         """Further rows (id, value) of a mounted attribute, such as a stream's micro-batch brings."""
         self._added.setdefault((column, operation), []).append(rows.select("id", "value"))
-        self.metrics = ()
+        self._forget_index()
+
+    def _forget_index(self) -> None:
+        self.metrics, self._stored = (), None
 
     def delete(self, request: dict | str) -> list[str]:
         """Removes attributes. With one pivot attribute its whole index goes."""
@@ -155,12 +151,13 @@ class Engine:
                 if i[1] == "pivot_based":
                     for other in [x for x in self.attributes if x[1] == "pivot_based"]:
                         self.attributes.pop(other)
-                    self.metrics = ()
+                    self._forget_index()
         return said
 
     def unmount(self) -> None:
-        self.sources.clear(), self.attributes.clear(), self._tables.clear(), self._added.clear(), self.given.clear()
-        self.metrics = ()
+        for held in (self.sources, self.attributes, self._tables, self._rows, self._dates, self._added, self.given):
+            held.clear()
+        self._forget_index()
 
     def catalog(self, operation: str | None = None, column: str | None = None) -> DataFrame:
         """(column, operation, datatype, sample, queryable); sample is the value of the least id."""
@@ -186,9 +183,17 @@ class Engine:
 
     # Data
 
+    @staticmethod
+    def _place(spec: AttributeSpec) -> tuple:
+        return spec.source, spec.dataset, spec.separator, spec.header, spec.max_lines
+
+    def _group(self, spec: AttributeSpec) -> tuple:
+        """Attributes of one group are columns of the same rows."""
+        return *self._place(spec), spec.key, spec.unique_keys
+
     def table(self, spec: AttributeSpec) -> DataFrame:
         """The dataset that an attribute belongs to, read once an engine."""
-        place = (spec.source, spec.dataset, spec.separator, spec.header, spec.max_lines)
+        place = self._place(spec)
         if place not in self._tables:
             self._tables[place] = self._read(spec)
         return self._tables[place]
@@ -212,6 +217,24 @@ class Engine:
             return self.spark.read.format("search_index").options(**options).load().withColumnRenamed("id", spec.key or "id")
         raise ValueError(f"unknown type of source {source.type}")
 
+    def rows(self, spec: AttributeSpec) -> DataFrame:
+        """_key and the columns of the attribute's table, one row a key, those without one left out.
+
+        Keys that are said to be unique, and those of databases and services, are taken as such. Otherwise they are
+        counted, once; only a table in which some repeat is written again, with the row of each that counts.
+        """
+        place = self._group(spec)
+        if place not in self._rows:
+            raw = self.table(spec)
+            rows = raw.withColumn("_key", F.col(f"`{spec.key or raw.columns[0]}`").cast("string")).where("_key is not null and _key <> ''")
+            source = self.sources.get(spec.source)
+            in_place = spec.dataset not in self.given and source is not None and source.type.lower() in ("jdbc", "restapi")
+            if not spec.unique_keys and not in_place:
+                repeated = rows.groupBy("_key").count().where("count > 1").limit(1).count()
+                rows = cut(readers.one_row_a_key(rows, "_key")) if repeated else rows
+            self._rows[place] = rows
+        return self._rows[place]
+
     def _value(self, spec: AttributeSpec, rows: DataFrame) -> Column:
         if spec.transform_by:
             return readers.attribute_value(rows, list(spec.columns), "keywords", spec.token_delimiter)
@@ -226,16 +249,13 @@ class Engine:
         """id and one column an attribute. Attributes of the same table are one scan."""
         groups: dict[tuple, list[AttributeSpec]] = {}
         for s in specs:
-            groups.setdefault((s.source, s.dataset, s.separator, s.header, s.max_lines, s.key), []).append(s)
+            groups.setdefault(self._group(s), []).append(s)
         joined: DataFrame | None = None
         for of_table in groups.values():
-            raw = self.table(of_table[0])
+            raw = self.rows(of_table[0])
             if condition is not None and len(groups) == 1:
                 raw = raw.where(condition)
-            key = F.col(f"`{of_table[0].key or raw.columns[0]}`").cast("string").alias("id")
-            rows = raw.select(key, *(self._value(s, raw).alias(s.column) for s in of_table))
-            if not all(s.unique_keys for s in of_table):
-                rows = readers.one_row_a_key(rows)
+            rows = raw.select(F.col("_key").alias("id"), *(self._value(s, raw).alias(s.column) for s in of_table))
             for s in of_table:
                 for more in self._added.get(s.identity, ()):
                     kept = rows.select("id", *(F.col(f"`{o.column}`") for o in of_table if o is not s), F.col(f"`{s.column}`").alias("_old"))
@@ -301,7 +321,8 @@ class Engine:
             else:
                 said.append(f"unknown extra column {e} is left out")
         condition = self._condition(spec)
-        response = self._by_pivot(spec, found, extra_specs, condition) if by_pivot else self._by_rank(spec, found, extra_specs, condition)
+        with within(self.spark, self.timeout):
+            response = self._by_pivot(spec, found, extra_specs, condition) if by_pivot else self._by_rank(spec, found, extra_specs, condition)
         response.warnings, response.timeout = said, self.timeout
         return response
 
@@ -315,42 +336,60 @@ class Engine:
             out = p if out is None else out & p
         return out
 
-    def _extended(self, rows: DataFrame, found: list[AttributeSpec], extra: list[AttributeSpec]) -> tuple[DataFrame, list[AttributeSpec]]:
-        """Extra columns join the results, of which there are k a combination, not the table that is searched."""
-        others = [e for e in extra if e.column not in {f.column for f in found}]
+    def _extended(self, rows: DataFrame, extra: list[AttributeSpec]) -> DataFrame:
+        """Extra columns of other tables meet the k results of each combination, not the entities."""
+        if not extra:
+            return rows
+        rows = cut(rows)
+        ids = F.broadcast(rows.select("id").distinct())
         for e in extra:
-            if e in others:
-                more = self.attribute(e).select("id", values.shown(F.col("value"), e.kind).alias(f"x_{e.column}"))
-                rows = more.join(F.broadcast(rows), "id", "right")
-        return rows, others
+            more = self.attribute(e).select("id", values.shown(F.col("value"), e.kind).alias(f"x_{e.column}")).join(ids, "id")
+            rows = rows.join(F.broadcast(more), "id", "left")
+        return rows
 
     def _by_rank(self, spec: SearchSpec, found: list[AttributeSpec], extra: list[AttributeSpec], condition: Column | None) -> Response:
-        entities = self._together(found, condition)
+        queried = {f.column for f in found}
+        extra = [e for e in extra if e.column not in queried]
+        # Extra columns of the tables searched are read in the scan that scores them.
+        groups = {self._group(f) for f in found}
+        along = [e for e in extra if self._group(e) in groups and not e.transform_by]
+        entities = self._together([*found, *along], condition)
+        entities = entities.withColumns({e.column: values.shown(F.col(f"`{e.column}`"), e.kind) for e in along})
         criteria = [self._criterion(a, q) for a, q in zip(found, spec.queries)]
-        rows, prepared = ranking.rank(entities, criteria, spec.k, spec.algorithm)
-        rows, shown_ = self._extended(rows, found, extra)
-        names = self._names(rows)
-        return Response(names, tuple(a.column for a in found), tuple(a.kind for a in found), tuple(e.column for e in shown_), spec.k, prepared)
-
-    def _names(self, rows: DataFrame) -> DataFrame:
-        """Ids with the address prefix of a name dictionary, if there is one."""
-        prefix = next((a.prefix_url for a in self.attributes.values() if a.operation == "name_dictionary" and a.prefix_url), "")
-        return rows.withColumn("id", F.concat(F.lit(prefix), "id")) if prefix else rows
+        rows, prepared = ranking.rank(entities, criteria, spec.k, spec.algorithm, extra=[e.column for e in along])
+        rows = self._extended(rows, [e for e in extra if e not in along])
+        names = self._names(rows, found)
+        return Response(names, tuple(a.column for a in found), tuple(a.kind for a in found), tuple(e.column for e in extra), spec.k, prepared)
+
+    def _names(self, rows: DataFrame, found: list[AttributeSpec]) -> DataFrame:
+        """Ids with the address prefix of a name dictionary, if there is one: that of a table searched before others."""
+        named = [a for a in self.attributes.values() if a.operation == "name_dictionary" and a.prefix_url]
+        tables = {(f.source, f.dataset) for f in found}
+        named.sort(key=lambda a: (a.source, a.dataset) not in tables)
+        return rows.withColumn("id", F.concat(F.lit(named[0].prefix_url), "id")) if named else rows
 
     def index(self) -> tuple[pivot.Metric, ...]:
-        """Fits the pivots of the mounted pivot attributes, if that isn't done yet."""
+        """Fits the pivots of the mounted pivot attributes and stores the embedded rows, if that isn't done yet."""
         specs = [a for a in self.attributes.values() if a.operation == "pivot_based"]
         if not self.metrics and specs:
-            self.metrics = pivot.fit(self._together(specs), [pivot.Metric(a.column, a.metric or "euclidean") for a in specs], self.pivots)
+            rows = self._together(specs)
+            self.metrics = pivot.fit(rows, [pivot.Metric(a.column, a.metric or "euclidean") for a in specs], self.pivots)
+            self._stored = pivot.stored(rows, self.metrics, f"{shared_folder(self.spark)}/index-{uuid.uuid4()}")
         return self.metrics
 
     def _by_pivot(self, spec: SearchSpec, found: list[AttributeSpec], extra: list[AttributeSpec], condition: Column | None) -> Response:
-        wanted = [pivot.Wanted(a.column, self._vector(a, q), q.weights or (1.0,), q.scale, q.decay) for a, q in zip(found, spec.queries)]
+        """By the stored index; a filter selects ids, which meet the index's rows in a semi-join."""
+        wanted = [pivot.Wanted(a.column, self._vector(a, q), q.weights, q.scale, q.decay) for a, q in zip(found, spec.queries)]
         for w in wanted:
             ranking.check_weights([ranking.Criterion(w.name, "vector", F.lit(None), None, w.weights)])
-        rows = pivot.search(self._together(found, condition), self.index(), wanted, spec.k)
-        rows, shown_ = self._extended(rows, found, extra)
-        return Response(self._names(rows), tuple(a.column for a in found), ("vector",) * len(found), tuple(e.column for e in shown_), spec.k)
+        metrics = self.index()
+        rows = self._stored
+        if condition is not None:
+            rows = rows.join(self._together(found, condition).select("id"), "id", "left_semi")
+        rows = pivot.search(rows, metrics, wanted, spec.k, bound=True)
+        others = [e for e in extra if e.column not in {f.column for f in found}]
+        rows = self._extended(rows, others)
+        return Response(self._names(rows, found), tuple(a.column for a in found), ("vector",) * len(found), tuple(e.column for e in others), spec.k)
 
     def _vector(self, a: AttributeSpec, q: QuerySpec) -> tuple[float, ...]:
         if a.transform_by:
@@ -378,14 +417,21 @@ class Engine:
         raise ValueError(f"{q.value!r} is no value for {q.column}")
 
     def _holds_dates(self, a: AttributeSpec) -> bool:
-        """Whether the attribute's values are read as dates, by its first value."""
-        raw = self.table(a)
-        if raw.schema[a.columns[0]].dataType.simpleString().startswith("timestamp"):
-            return True
-        if len(a.columns) > 1 or raw.schema[a.columns[0]].dataType.simpleString() != "string":
-            return False
-        first = raw.where(F.col(f"`{a.columns[0]}`").isNotNull()).select(f"`{a.columns[0]}`").first()
-        return bool(first) and values.parse_number(first[0]) is None and values.parse_date(str(first[0])) is not None
+        """Whether the attribute's values are read as dates: by its type, and of texts if more are dates than numbers."""
+        if a.identity not in self._dates:
+            raw = self.table(a)
+            first = F.col(f"`{a.columns[0]}`")
+            kind = raw.schema[a.columns[0]].dataType.simpleString()
+            if kind.startswith("timestamp") or kind == "date":
+                self._dates[a.identity] = True
+            elif len(a.columns) > 1 or kind != "string":
+                self._dates[a.identity] = False
+            else:
+                number = F.trim(first).try_cast("double").isNotNull()
+                date = values.epoch_of(F.trim(first)).isNotNull() & ~number
+                n = raw.agg(F.count_if(date).alias("dates"), F.count_if(number).alias("numbers")).first()
+                self._dates[a.identity] = n["dates"] > n["numbers"]
+        return self._dates[a.identity]
 
     def sql(self, statement: str) -> Response:
         return self.search(sqlfront.parse(statement))

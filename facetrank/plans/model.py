@@ -91,9 +91,11 @@ class AttributeSpec:
         if operation not in OPERATIONS:
             raise ValueError(f"unknown operation {raw.get('operation')}")
         columns = tuple(str(c) for c in listed(raw.get("search_column")))
-        if not columns:
+        # A dictionary of vectors without a header may have one number a column: all after the key.
+        spread = operation == "vector_dictionary" and not flag(raw.get("header"), True)
+        if not columns and not spread:
             raise ValueError("search_column is missing")
-        name = raw.get("transformed_to") or raw.get("alias_column") or (columns[0] if len(columns) == 1 else "_".join(columns))
+        name = raw.get("transformed_to") or raw.get("alias_column") or (columns[0] if len(columns) == 1 else "_".join(columns) or "vector")
         return cls(
             source=raw.get("source", ""), dataset=raw.get("dataset", ""), operation=operation, column=name, columns=columns,
             key=raw.get("key_column"), separator=raw.get("separator") or ";", header=flag(raw.get("header"), True),

@@ -253,3 +253,95 @@ def test_file_without_header_and_line_limit(spark, tmp_path):
     assert rows.columns == ["0", "1"] and rows.count() == 2
     kept = readers.one_row_a_key(rows.select(F.col("0").alias("id"), readers.attribute_value(rows, ["1"], "number").alias("x")))
     assert {tuple(r) for r in kept.collect()} == {("a", 1.0), ("b", 2.0)}
+
+
+def test_one_whole_row_of_a_repeated_key_counts(spark):
+    rows = spark.createDataFrame([("k1", 1.0, 9.0, "u"), ("k1", 3.0, 2.0, "v"), ("k2", 2.0, 5.0, "w"), ("k2", 2.0, 5.0, "w")], "k string, x double, y double, id string")
+    engine = Engine(spark)
+    base = {"dataset": "t", "key_column": "k", "operation": "numerical_topk"}
+    engine.mount({"search": [base | {"search_column": "x"}, base | {"search_column": "y"}, base | {"operation": "textual_topk", "search_column": "id", "alias_column": "name"}]}, {"t": rows})
+    assert len(engine.append({"search": [base | {"operation": "textual_topk", "search_column": "id"}]})) == 1
+    found = engine.search({"k": 2, "queries": [{"column": "x", "value": 3, "weights": [1]}, {"column": "y", "value": 9, "weights": [1]}], "output": {"extra_columns": ["name"]}}).rows
+    assert {(r["id"], r["v0"], r["v1"], r["x_name"]) for r in found.collect()} == {("k1", 3.0, 2.0, "v"), ("k2", 2.0, 5.0, "w")}
+    assert "hashpartitioning(_key" not in found._jdf.queryExecution().executedPlan().toString()
+    assert engine.search({"k": 9, "filter": "id = 'u'", "queries": [{"column": "x", "value": 1}]}).rows.count() == 0
+
+
+def test_pivot_search_reads_ranges_of_the_stored_index(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(f"r{i:04}", float(rng.normal() * 100), float(i % 7)) for i in range(3000)], "id string, x double, y double")
+    engine = Engine(spark)
+    base = {"dataset": "t", "key_column": "id", "operation": "pivot_based", "metric": "Manhattan"}
+    engine.mount({"search": [base | {"search_column": "x"}, base | {"search_column": "y"}]}, {"t": rows})
+    request = {"k": 5, "algorithm": "pivot_based", "queries": [{"column": "x", "value": 20.0, "scale": 1, "weights": [1]}, {"column": "y", "value": 3, "scale": 1, "weights": [1]}]}
+    answer = engine.search(request)
+    assert "PushedFilters: [Or(IsNull(pd_x_0),And(GreaterThanOrEqual(pd_x_0" in answer.rows._jdf.queryExecution().executedPlan().toString()
+    best = sorted((abs(r["x"] - 20) + abs(r["y"] - 3), r["id"]) for r in rows.collect())[:5]
+    assert {r["id"] for r in answer.rows.collect()} == {i for _, i in best}
+    filtered = engine.search(request | {"filter": "y < 2"}).rows.collect()
+    best = sorted((abs(r["x"] - 20) + abs(r["y"] - 3), r["id"]) for r in rows.where("y < 2").collect())[:5]
+    assert {r["id"] for r in filtered} == {i for _, i in best}
+
+
+def test_pivot_weights_that_are_not_given_come_from_the_sample(spark):
+    rows = spark.createDataFrame([(f"r{i:02}", float(i), float(i * i)) for i in range(40)], "id string, x double, y double")
+    engine = Engine(spark)
+    base = {"dataset": "t", "key_column": "id", "operation": "pivot_based", "metric": "Manhattan"}
+    engine.mount({"search": [base | {"search_column": "x"}, base | {"search_column": "y"}]}, {"t": rows})
+    k = 3
+    answer = engine.search({"k": k, "algorithm": "pivot_based", "queries": [{"column": "x", "value": 5.0, "scale": 10}, {"column": "y", "value": 50.0, "scale": 100, "weights": [0.5]}]})
+
+    def weight(scores):
+        scores, n = sorted(scores), len(scores)
+        at = (n + 1) * (1 - k / n)
+        return scores[int(at) - 1] + (at - int(at)) * (scores[int(at)] - scores[int(at) - 1])
+
+    w = weight([np.exp(-0.05 * abs(i - 5) / 10) for i in range(40)])
+    d = sorted(((w * abs(i - 5) / 10 + 0.5 * abs(i * i - 50) / 100) / (w + 0.5), f"r{i:02}") for i in range(40))[:k]
+    assert {r["id"]: pytest.approx(r["distance"]) for r in answer.rows.collect()} == {i: x for x, i in d}
+
+
+def test_dates_are_told_by_all_values_not_by_the_first(spark):
+    rows = spark.createDataFrame([("a", "12"), ("b", "2020-01-02"), ("c", "2020-01-03"), ("d", None)], "id string, day string")
+    for table in (rows, rows.orderBy(F.desc("id"))):
+        engine = Engine(spark)
+        engine.mount({"search": [{"dataset": "t", "operation": "pivot_based", "metric": "Manhattan", "search_column": "day"}]}, {"t": table.coalesce(1)})
+        found = engine.search({"k": 1, "algorithm": "pivot_based", "queries": [{"column": "day", "value": "2020-01-02"}]}).collect()
+        assert found[0]["id"] == "b"
+
+
+def test_dictionary_of_one_number_a_column(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("a;1;0\nb;0;1\nc;x;1\n")
+    engine = Engine(spark)
+    engine.mount({"sources": [{"name": "f", "type": "csv", "directory": str(tmp_path)}], "search": [{"source": "f", "dataset": "d.csv", "header": "false", "key_column": "0", "operation": "vector_dictionary"}]})
+    (spec,) = engine.attributes.values()
+    assert {r["id"]: r["value"] for r in engine.attribute(spec).collect()} == {"a": [1.0, 0.0], "b": [0.0, 1.0], "c": None}
+
+
+def test_file_at_an_address_is_shared(spark, tmp_path):
+    import functools
+    from http.server import SimpleHTTPRequestHandler
+
+    (tmp_path / "far.csv").write_text("k;x\na;1\n")
+    handler = functools.partial(SimpleHTTPRequestHandler, directory=str(tmp_path))
+    server = HTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    rows = readers.delimited(spark, f"http://127.0.0.1:{server.server_port}", "far.csv")
+    assert [tuple(r) for r in rows.collect()] == [("a", "1")] and spark.sparkContext.getCheckpointDir().split(":")[-1] in rows.inputFiles()[0]
+    server.shutdown()
+
+
+def test_a_search_that_takes_too_long_is_cancelled(spark):
+    import time
+
+    @F.udf("double")
+    def slow(x):
+        time.sleep(3)
+        return x
+
+    engine = Engine(spark)
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "id string, x double")
+    engine.mount({"search": [{"dataset": "t", "operation": "numerical_topk", "search_column": "x", "unique_keys": True}]}, {"t": rows.withColumn("x", slow("x"))})
+    engine.timeout = 500
+    with pytest.raises(TimeoutError):
+        engine.search({"k": 1, "queries": [{"column": "x", "value": 3}]})
