@@ -46,15 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
 @contextmanager
 def within(spark: SparkSession, milliseconds: int):
     """What is run inside is cancelled after that time, and TimeoutError raised."""
+    context = spark.sparkContext
     tag = f"facetrank-{threading.get_ident()}-{time.time_ns()}"
     late = threading.Event()
 
     def cancel() -> None:
         late.set()
-        spark.interruptTag(tag)
+        context.cancelJobsWithTag(tag)
 
     timer = threading.Timer(milliseconds / 1000, cancel)
-    spark.addTag(tag)
+    context.addJobTag(tag)
     timer.start()
     try:
         yield
@@ -64,7 +65,7 @@ def within(spark: SparkSession, milliseconds: int):
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

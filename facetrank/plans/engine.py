@@ -321,6 +321,9 @@ class Engine:
             else:
                 said.append(f"unknown extra column {e} is left out")
         condition = self._condition(spec)
+        if by_pivot:
+            # Building is no part of a search.
+            self.index()
         with within(self.spark, self.timeout):
             response = self._by_pivot(spec, found, extra_specs, condition) if by_pivot else self._by_rank(spec, found, extra_specs, condition)
         response.warnings, response.timeout = said, self.timeout
