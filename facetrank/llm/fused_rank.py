@@ -1,11 +1,15 @@
 """One ranking from several differently scaled scores: first principal component of rank-transformed scores.
 
-Scores become ranks within their column (0 for a missing one, up to 1 for the best), so that neither range nor shape
-nor extreme values matter. Each column is scaled by the root of its weight, turned to its declared direction. The
-matrix is that of second moments about the worst rank, not about the mean: columns of one search are hardly
-correlated, and a component about the mean would then follow chance correlations (or a single column) and not the
-weights. About the worst rank all entries are positive, so that the first component's loadings have one sign, the
-declared one, and the projection gives each column an influence close to its weight.
+Scores become ranks within their column (0 for a missing one, up to 1 for the best, after each column is turned to its
+declared direction), so that neither range nor shape nor extreme values matter. One distributed aggregate gives the
+correlation matrix of each search's columns. It is shrunk towards full agreement in the declared directions, by AGREED;
+columns are scaled by the roots of their weights; the first component of that matrix, oriented to the declared
+directions, gives the loadings, and the projection on it the ranking.
+
+Without the shrinking, the component of columns that are hardly correlated follows chance or the one heaviest column, and
+not the weights (`components` shows it, and which columns it would turn against their declared direction). With it, the
+loadings are the weights, changed by how columns go together. As the second eigenvalue is at most (1 - AGREED) / AGREED of
+the first one, a fixed number of multiplications gives the component, in expressions of SQL.
 """
 
 from __future__ import annotations
@@ -14,13 +18,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetrank.functions.runtime import cut
-from facetrank.functions.skew import numbered
+from facetrank.functions.runtime import cut, ship, width
+from facetrank.functions.skew import lookup, numbered
 
 #: Rows of one (search, column) beyond which ranks are made in several cells.
 CELL = 50_000
-#: Columns a search may have: their second moments are one array of at most COLUMNS squared numbers a search.
-COLUMNS = 64
+#: Share of full agreement in the matrix whose component is taken; the rest is what was observed.
+AGREED = 2 / 3
+#: Multiplications by the matrix; each halves at least what is left of other components.
+STEPS = 50
 
 
 def rank_scores(scores: DataFrame, descending: Column | None = None) -> DataFrame:
@@ -39,29 +45,31 @@ def rank_scores(scores: DataFrame, descending: Column | None = None) -> DataFram
         .agg(F.max(value + F.lit(0.0)).alias("score"))
     )
     clean = cut(clean)
-    sizes = clean.groupBy(*keys).agg(F.count("*").alias("n"))
+    sizes = clean.groupBy(F.struct(*keys).alias("key")).agg(F.count("*").alias("n"), F.count_distinct("score").alias("values"))
     # Equal scores are counted together before anything is sorted: a value that very many rows share is one row.
     values = clean.groupBy(*keys, "score").agg(F.count("*").alias("same"))
-    most = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if most <= CELL:
+    key = F.struct(*keys).alias("key")
+    of_keys = cut(sizes.withColumn("n", F.col("n").cast("double")))
+    most, all_values, all_rows = of_keys.agg(F.max("values"), F.sum("values"), F.sum("n")).first()
+    if (most or 0) <= CELL:
         running = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
         ranked = values.withColumn("place", F.sum("same").over(running))
     else:
-        # Quantiles cut each column's values into cells of about equal size; at most 1,001 a column.
+        # Quantiles cut the values of columns that have more into cells of about equal size; at most 1,001 a column.
         cells = int(min(1000, -(-most // CELL) * 4))
         at = [i / cells for i in range(1, cells)]
-        cuts = values.groupBy(*keys).agg(F.percentile_approx("score", at, 10 * cells).alias("cuts"))
-        placed = values.join(F.broadcast(cuts), keys) if cuts.count() < 10_000 else values.join(cuts, keys)
-        cell = F.size(F.filter("cuts", lambda c: c < F.col("score")))
-        ranked = numbered(
-            placed.withColumn("cell", cell).drop("cuts"), keys, F.col("cell"), [F.col("score")], F.lit(0), 1, "place",
-            weight=F.col("same"),
-        )
-    return (
-        clean.join(ranked.select(*keys, "score", "place"), [*keys, "score"])
-        .join(sizes, keys)
-        .select("search_id", "article_id", "column_name", (F.col("place") / F.col("n")).alias("r"))
-    )
+        large = of_keys.where(F.col("values") > CELL).select("key", "values")
+        keyed = values.select("*", key)
+        cuts = lookup(keyed, "key", large, "values", all_values).groupBy("key").agg(F.percentile_approx("score", at, 10 * cells).alias("cuts"))
+        small = lookup(keyed, "key", of_keys.where(F.col("values") <= CELL).select("key", "values"), "values", all_values)
+        placed = lookup(keyed, "key", cut(cuts.join(large, "key")), "values", all_values)
+        placed = placed.withColumn("cell", F.size(F.filter("cuts", lambda c: c < F.col("score"))))
+        placed = placed.drop("cuts").unionByName(small.withColumn("cell", F.lit(0))).drop("key", "values")
+        ranked = numbered(placed, keys, F.col("cell"), [F.col("score")], F.lit(0), 1, "place", weight=F.col("same"))
+    shared = lookup(ranked.select("score", "same", "place", key), "key", of_keys, "values", all_values or 0)
+    shared = cut(shared.select(F.struct("key", "score").alias("at"), "same", (F.col("place") / F.col("n")).alias("r")))
+    rows = clean.select("search_id", "article_id", "column_name", F.struct(key, F.col("score")).alias("at"))
+    return lookup(rows, "at", shared, "same", int(all_rows or 0)).select("search_id", "article_id", "column_name", "r")
 
 
 def weight_table(pivot: DataFrame) -> DataFrame:
@@ -85,51 +93,84 @@ def first_component(moments: np.ndarray) -> np.ndarray:
     return v if v.sum() >= 0 else -v
 
 
-def loadings(ranks: DataFrame, weights: DataFrame) -> DataFrame:
-    """(search_id, combo, column_name, loading): what a rank of that column adds to the projection.
+def correlations(ranks: DataFrame) -> DataFrame:
+    """(search_id, ca, cb, rho): correlation of the ranks of each two columns of a search, over articles that have both.
 
-    The second moments are summed over the articles of each search by a map-side aggregate of pairs of columns, one
-    array of ranks an article; only these small matrices, one a search and combination, go on to the eigenvectors.
+    An array of ranks an article, one of each column of its search, and a map-side aggregate of pairs of columns.
     """
-    rows = ranks.groupBy("search_id", "article_id").agg(
-        F.sort_array(F.collect_list(F.struct("column_name", "r"))).alias("rs")
+    rows = ranks.groupBy("search_id", "article_id").agg(F.collect_list(F.struct("column_name", "r")).alias("rs"))
+    pairs = rows.select("search_id", F.explode("rs").alias("a"), "rs").select("search_id", "a", F.explode("rs").alias("b"))
+    # A column whose ranks are all equal goes along with none.
+    both = F.stddev_pop("a.r") * F.stddev_pop("b.r")
+    rho = F.when(F.col("ca") == F.col("cb"), 1.0).when(F.col("both") > 1e-12, F.col("together") / F.col("both")).otherwise(0.0)
+    return (
+        pairs.groupBy("search_id", F.col("a.column_name").alias("ca"), F.col("b.column_name").alias("cb"))
+        .agg(F.covar_pop("a.r", "b.r").alias("together"), both.alias("both"))
+        .select("search_id", "ca", "cb", rho.alias("rho"))
     )
-    pairs = rows.select("search_id", F.explode("rs").alias("a"), "rs").select(
-        "search_id", "a", F.explode("rs").alias("b")
+
+
+def _matrices(ranks: DataFrame) -> DataFrame:
+    """(search_id, columns ARRAY<STRUCT<name, rho MAP>>): one row a search, columns in order of their names."""
+    rows = correlations(ranks).groupBy("search_id", F.col("ca").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct("cb", "rho"))).alias("rho"))
+    # A map has no order: columns are sorted by their names, which are distinct.
+    return rows.groupBy("search_id").agg(F.collect_list(F.struct("name", "rho")).alias("columns")).withColumn(
+        "columns", F.array_sort("columns", lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))
     )
-    moments = pairs.groupBy(
-        "search_id", F.col("a.column_name").alias("ca"), F.col("b.column_name").alias("cb")
-    ).agg(F.sum(F.col("a.r") * F.col("b.r")).alias("m"), F.count("*").alias("n"))
 
-    wa, wb = (
-        weights.selectExpr("search_id", "combo", f"column_name c{s}", f"sqrt(weight) w{s}") for s in "ab"
+
+def loadings(ranks: DataFrame, weights: DataFrame) -> DataFrame:
+    """(search_id, combo, column_name, weight, loading): what a rank of that column adds to the projection.
+
+    The loadings of a search and combination sum to 1; they are 0 if all its weights are.
+    """
+    of_combos = weights.groupBy("search_id", "combo").agg(F.map_from_entries(F.collect_list(F.struct("column_name", "weight"))).alias("w"))
+    rows = _matrices(ranks).join(of_combos, "search_id")
+
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+
+    root = F.transform("columns", lambda c: F.sqrt(F.coalesce(F.try_element_at("w", c["name"]), F.lit(0.0))))
+    rows = rows.withColumn("root", root).withColumn("sum", dot(F.col("root"), F.col("root")))
+
+    def line(c: Column, i: Column) -> Column:
+        """A row of the matrix, divided by its greatest possible eigenvalue."""
+        return F.transform(
+            "columns",
+            lambda d, j: F.get("root", i) * F.get("root", j) * ((1 - AGREED) * F.coalesce(F.try_element_at(c["rho"], d["name"]), F.lit(0.0)) + AGREED) / F.nullif(F.col("sum"), F.lit(0.0)),
+        )
+
+    rows = rows.withColumn("m", F.transform("columns", line))
+    component = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.col("root"), lambda v, _: F.transform("m", lambda x: dot(x, v)))
+    rows = rows.withColumn("v", F.when(F.col("sum") > 0, component).otherwise(F.col("root")))
+    # It starts in the declared directions, and the matrix has no negative eigenvalues to turn it.
+    rows = rows.withColumn("along", dot(F.col("v"), F.col("root")))
+    each = rows.select("search_id", "combo", "w", "root", "v", "along", F.posexplode("columns").alias("i", "c"))
+    loading = F.when(F.col("along") > 0, F.get("v", F.col("i")) * F.get("root", F.col("i")) / F.col("along")).otherwise(0.0)
+    return (
+        each.withColumn("weight", F.try_element_at("w", F.col("c.name")))
+        .where("weight is not null")
+        .select("search_id", "combo", F.col("c.name").alias("column_name"), "weight", loading.alias("loading"))
     )
-    joined = moments.join(wa, ["search_id", "ca"]).join(wb, ["search_id", "combo", "cb"])
+
+
+def components(scores: DataFrame) -> DataFrame:
+    """(search_id, column_name, component, against): the first component of each search's correlation matrix alone, of
+    length 1 and turned so that most of it goes along the declared directions; whether a column's goes against its own."""
 
     def solve(frame):
         import pandas as pd
 
-        names = sorted(set(frame["ca"]))
-        at = {c: i for i, c in enumerate(names)}
-        m = np.zeros((len(names), len(names)))
-        i, j = frame["ca"].map(at).to_numpy(), frame["cb"].map(at).to_numpy()
-        m[i, j] = frame["m"] * frame["wa"] * frame["wb"]
-        root = np.zeros(len(names))
-        root[i] = frame["wa"]
-        v = np.abs(first_component((m + m.T) / 2)) * root
-        return pd.DataFrame(
-            {
-                "search_id": frame["search_id"].iat[0],
-                "combo": frame["combo"].iat[0],
-                "column_name": names,
-                "loading": v / v.sum() if v.sum() > 0 else v,
-            }
-        )
+        (search, columns), *_ = frame.itertuples(index=False)
+        names = [c["name"] for c in columns]
+        rho = [dict(c["rho"]) for c in columns]
+        v = first_component(np.array([[r.get(n, 0.0) for n in names] for r in rho]))
+        return pd.DataFrame({"search_id": search, "column_name": names, "component": v, "against": v < -1e-9})
 
-    kind = {f.name: f.dataType.simpleString() for f in weights.schema}
-    return joined.groupBy("search_id", "combo").applyInPandas(
-        solve, f"search_id {kind['search_id']}, combo bigint, column_name string, loading double"
-    )
+    rows = _matrices(cut(rank_scores(scores)))
+    kind = rows.schema["search_id"].dataType.simpleString()
+    schema = f"search_id {kind}, column_name string, component double, against boolean"
+    return rows.repartition(width(rows.sparkSession), "search_id").groupBy("search_id").applyInPandas(solve, schema)
 
 
 def fused(scores: DataFrame, pivot: DataFrame) -> DataFrame:
@@ -138,11 +179,15 @@ def fused(scores: DataFrame, pivot: DataFrame) -> DataFrame:
     A search or column without weights gives no rows; a search whose scores are all missing gives none either.
     """
     ranks = cut(rank_scores(scores))
-    v = loadings(ranks, weight_table(pivot))
+    key = F.struct("search_id", "column_name").alias("key")
+    sizes = ranks.groupBy(key).agg(F.count("*").alias("n"))
+    of_columns = loadings(ranks, weight_table(pivot)).groupBy(key).agg(F.collect_list(F.struct("combo", "loading")).alias("by_combo"))
+    of_columns = cut(of_columns.join(sizes, "key"))
+    rows = lookup(ranks.select("search_id", "article_id", "r", key), "key", of_columns, "n", ranks.count())
     return (
-        ranks.join(v, ["search_id", "column_name"])
-        .groupBy("search_id", "combo", "article_id")
-        .agg(F.sum(F.col("r") * F.col("loading")).alias("projection"))
+        rows.select("search_id", "article_id", "r", F.explode("by_combo").alias("l"))
+        .groupBy("search_id", F.col("l.combo").alias("combo"), "article_id")
+        .agg(F.sum(F.col("r") * F.col("l.loading")).alias("projection"))
     )
 
 
@@ -157,6 +202,4 @@ def top_articles(scores: DataFrame, pivot: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-from facetrank.functions.runtime import ship  # noqa: E402
-
 ship(__name__)

@@ -30,6 +30,12 @@ def p2_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return all_.withColumn("projection", F.round("projection", 9))
 
 
+def p2_components(spark: SparkSession, folder: str) -> DataFrame:
+    """The plain first component of each search, and the columns that it turns against their declared direction."""
+    found = fused_rank.components(table(spark, folder, "result_scores"))
+    return found.withColumn("component", F.round("component", 6))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return perm_index.near_terms(table(spark, folder, "lda_dictionary"), k=3, most=1.0)
 
@@ -82,7 +88,7 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_scores, p2_found, p2_ranking, p4_found, p6_found, p6_links, p7_ids, p7_roundtrip,
+        p1_found, p1_scores, p2_found, p2_ranking, p2_components, p4_found, p6_found, p6_links, p7_ids, p7_roundtrip,
         p8_mix, p8_report, p8_exact_report, p9_found, p9_report,
     )
 }
@@ -113,7 +119,54 @@ pairs as (
 """
 )
 
+_FUSED = """
+with recursive s as (
+  select search_id, column_name, article_id, max(score) + 0.0 x from result_scores
+  where score is not null and not isnan(score) and article_id is not null and search_id is not null and column_name is not null
+  group by all
+),
+r as (
+  select search_id, column_name, article_id,
+    count(*) over (partition by search_id, column_name order by x)::double / count(*) over (partition by search_id, column_name) r
+  from s
+),
+w as (
+  select search_id, combo, column_name, max(w) w from (
+    select search_id, column_name, generate_subscripts(weights, 1) - 1 combo, try_cast(trim(unnest(weights)) as double) w from search_pivot
+    where search_id is not null and column_name is not null
+  ) where w >= 0 and not isnan(w) group by all
+),
+rho as (
+  select a.search_id, a.column_name ca, b.column_name cb,
+    case when a.column_name = b.column_name then 1.0 when isnan(corr(a.r, b.r)) then 0.0 else coalesce(corr(a.r, b.r), 0.0) end rho
+  from r a join r b on a.search_id = b.search_id and a.article_id = b.article_id group by a.search_id, a.column_name, b.column_name
+),
+total as (select search_id, combo, sum(w) total from w join (select distinct search_id, column_name from r) using (search_id, column_name) group by all),
+n as (
+  select a.search_id, a.combo, a.column_name ca, b.column_name cb, a.w wa, sqrt(a.w) * sqrt(b.w) * (rho / 3.0 + 2.0 / 3.0) / total m
+  from w a join w b on a.search_id = b.search_id and a.combo = b.combo
+    join rho on rho.search_id = a.search_id and rho.ca = a.column_name and rho.cb = b.column_name
+    join total t on t.search_id = a.search_id and t.combo = a.combo
+),
+it as (
+  select 0 step, search_id, combo, ca, sqrt(wa) v from n where ca = cb
+  union all
+  select step + 1, n.search_id, n.combo, n.ca, sum(n.m * it.v) from it join n on n.search_id = it.search_id and n.combo = it.combo and n.cb = it.ca
+  where step < 50 group by all
+),
+l as (
+  select search_id, combo, ca column_name,
+    coalesce(v * sqrt(w) / nullif(sum(v * sqrt(w)) over (partition by search_id, combo), 0), 0) loading
+  from it join w using (search_id, combo) where step = 50 and ca = w.column_name
+),
+f as (select search_id, combo, article_id, sum(r * loading) projection from r join l using (search_id, column_name) group by all)
+"""
+
 ORACLE = {
+    "p2_ranking": _FUSED + "select search_id, combo, article_id, round(projection, 9) projection from f",
+    "p2_found": _FUSED
+    + """, o as (select *, row_number() over (partition by search_id, combo order by round(projection, 12) desc, article_id) place from f)
+select search_id, combo, article_id from o where place <= 5""",
     "p1_found": "with "
     + _CLEAN
     + """,

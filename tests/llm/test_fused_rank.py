@@ -62,3 +62,43 @@ def test_ties_go_by_id_and_empty_tables(spark):
 def test_first_component_has_positive_loadings():
     v = f.first_component(np.array([[1.0, 0.4], [0.4, 0.3]]))
     assert (v > 0).all() and v[0] > v[1]
+
+
+def brute(rows, weights):
+    """Loadings by numpy: correlations over articles that have both, shrunk, weighted, first component."""
+    frame = pd.DataFrame(rows, columns=["a", "c", "x"])
+    frame["r"] = frame.groupby("c").x.rank(pct=True, method="max")
+    rho = frame.pivot(index="a", columns="c", values="r").corr().fillna(0).to_numpy(copy=True)
+    np.fill_diagonal(rho, 1)
+    root = np.sqrt(np.array(weights))
+    v = f.first_component(((1 - f.AGREED) * rho + f.AGREED) * np.outer(root, root)) * root
+    return v / v.sum()
+
+
+def test_loadings_are_the_component_and_differ_from_the_weights(spark):
+    rng = np.random.default_rng(3)
+    base = rng.random(60)
+    x = {"u": base + 0.1 * rng.random(60), "v": base + 0.1 * rng.random(60), "w": rng.random(60), "z": -base}
+    rows = [(f"a{i:02}", c, float(x[c][i])) for c in x for i in range(60) if (i + ord(c)) % 9]
+    w = {"u": 0.5, "v": 0.5, "w": 0.5, "z": 0.5}
+    scores = spark.createDataFrame([(1, a, c, v) for a, c, v in rows], SCORES)
+    pivot = spark.createDataFrame([(1, c, None, [str(v)]) for c, v in w.items()] + [(1, "other", None, ["1"])], PIVOT)
+    got = {r["column_name"]: r["loading"] for r in f.loadings(f.rank_scores(scores), f.weight_table(pivot)).collect()}
+    want = dict(zip("uvwz", brute(rows, list(w.values()))))
+    assert got == pytest.approx(want, abs=1e-9) and sum(got.values()) == pytest.approx(1)
+    # Equal weights, but what goes along with others counts more than what goes against them.
+    assert got["u"] > got["w"] > got["z"] > 0 and got["u"] - 0.25 > 0.02
+    plain = {r["column_name"]: r["against"] for r in f.components(scores).collect()}
+    assert plain == {"u": False, "v": False, "w": plain["w"], "z": True}
+    ranking = [r["article_id"] for r in f.top_articles(scores, pivot, 60).orderBy("place").collect()]
+    frame = pd.DataFrame(rows, columns=["a", "c", "x"])
+    mean = frame.assign(r=frame.groupby("c").x.rank(pct=True)).groupby("a").r.sum().sort_values(ascending=False).index.tolist()
+    assert ranking != mean, "not the weighted mean of ranks"
+
+
+def test_one_column_holds_most_rows_and_all_weights_zero(spark):
+    rows = [(1, f"a{i:05}", "u", float(i % 3)) for i in range(6000)] + [(2, "b", "u", 1.0), (2, "c", "u", 2.0)]
+    pivot = spark.createDataFrame([(1, "u", None, ["1", "0"]), (2, "u", None, ["0.5"])], PIVOT)
+    got = f.fused(spark.createDataFrame(rows, SCORES), pivot)
+    by = {(r["search_id"], r["combo"], r["article_id"]): r["projection"] for r in got.collect()}
+    assert len(by) == 12_002 and by[1, 0, "a00002"] == 1.0 and by[1, 0, "a00000"] == pytest.approx(1 / 3) and by[1, 1, "a00002"] == 0.0 and by[2, 0, "c"] == 1.0
