@@ -1,10 +1,12 @@
 """All pairs of records whose token sets overlap above a threshold, by sorted sketch forests.
 
-Each of many independent trees orders the sets lexicographically by its own sequence of minhash values. Sets that share
-a prefix of a tree's order are neighbours there. A round compares the neighbours at one prefix length, in as many trees
-as the wanted recall needs at that length (the probability of sharing a prefix of length p in one tree is J to the
-power p). Sets that lie in a neighbourhood too large to compare go on to the next round, at a longer prefix and in
-more trees. The last round compares whatever is left. Candidates are verified exactly.
+Each of many independent trees orders the sets lexicographically by its own sequence of minhash values: a number whose
+leading bits are the tree and whose further bits are the values in turn, so that order of numbers is that order. Sets with
+a common prefix of values lie side by side there. A round sorts all trees at once and reads them in order; it compares the
+sets within each neighbourhood of one prefix length, in as many trees as the wanted recall needs at that length (the
+probability of sharing a prefix of length p in one tree is J to the power p). Sets in a neighbourhood too large to compare
+go on to the next round, at a longer prefix and in more trees. What is too large in the last round is compared in tiles.
+Candidates are verified exactly.
 
 Equal sets are one set until the end.
 """
@@ -20,13 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetrank.functions.runtime import cut, ship, wide
+from facetrank.functions.skew import HEAVY_PARTS
 from facetrank.functions.text import clean_tokens
 
 RECALL = 0.9999
 DEPTH = 3
 DEEPEST = 8
-#: Largest neighbourhood that is compared before the last round: the more sets, the rarer a larger one.
+#: Largest neighbourhood that is compared as a whole.
 NEIGHBOURHOOD = 5000
+#: Sets by which it is estimated, where there are more, which neighbourhoods hold so many that one task shouldn't read them.
+SAMPLE = 100_000
 
 
 def trees_for(similarity: float, depth: int, recall: float) -> int:
@@ -40,36 +45,129 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefixes(hashes: np.ndarray, starts: np.ndarray, trees: int, depth: int, seed: int) -> np.ndarray:
-    """Hash of each set's minhash prefix in each tree, sets x trees. hashes: 64-bit token hashes, set after set."""
-    out = np.empty((len(starts), trees), dtype=np.uint64)
+def signatures(hashes: np.ndarray, starts: np.ndarray, trees: int, depth: int, seed: int) -> np.ndarray:
+    """Place of each set in the order of each tree, sets x trees: the tree's number, then the minhash values in turn.
+
+    hashes: 64-bit token hashes, set after set. A value keeps as many bits as fit; sets that agree in these by chance
+    are candidates in vain.
+    """
+    bits = (63 - trees.bit_length()) // depth
+    out = np.empty((len(starts), trees), dtype=np.int64)
     with np.errstate(over="ignore"):
         for t in range(trees):
-            prefix = np.full(len(starts), np.uint64(t + 1) * np.uint64(0x9E3779B97F4A7C15))
+            place = np.full(len(starts), t, dtype=np.uint64)
             for d in range(depth):
                 salt = _mixed(np.array([seed * 1_000_003 + t * 1009 + d], dtype=np.uint64))
                 least = np.minimum.reduceat(_mixed(hashes ^ salt), starts)
-                prefix = _mixed(prefix ^ least) + np.uint64(d)
-            out[:, t] = prefix
+                place = (place << np.uint64(bits)) | (_mixed(least) >> np.uint64(64 - bits))
+            out[:, t] = place.view(np.int64)
     return out
 
 
-def _posts(sets: DataFrame, trees: int, depth: int, seed: int) -> DataFrame:
-    """(prefix, h): one row a set and tree, two numbers wide. The tree's number is part of the prefix's hash."""
+def _posts(sets: DataFrame, trees: int, depth: int, seed: int, hot: np.ndarray | None = None) -> DataFrame:
+    """(place, h, bits): one row a set and tree. Those of `hot` places get negative ones instead, all different."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column(1)
+            lists = batch.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             starts = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))[:-1]]).astype(np.int64)
-            keys = prefixes(flat, starts, trees, depth, seed)
+            places = signatures(flat, starts, trees, depth, seed)
+            if hot is not None and len(hot):
+                h = batch.column(0).to_numpy()[:, None]
+                places = np.where(np.isin(places, hot), np.minimum(h, ~h), places)
             for t in range(trees):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, t].view(np.int64)), batch.column(0)], names=["prefix", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(places[:, t]), batch.column(0), batch.column(1)], names=["place", "h", "bits"])
+
+    hashed = sets.select("h", "bits", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+    return hashed.mapInArrow(run, "place long, h long, bits long")
+
+
+def _fitting(h_a: np.ndarray, bits_a: np.ndarray, h_b: np.ndarray, bits_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets can be similar, by their sizes (255 may be more) and by bits that only one of them has."""
+    size_a, size_b = h_a & 255, h_b & 255
+    # Of negative numbers, numpy counts the bits of the absolute value.
+    only_a, only_b = (np.bitwise_count((x & ~y).view(np.uint64)).astype(np.int64) for x, y in ((bits_a, bits_b), (bits_b, bits_a)))
+    most = np.minimum(size_a - only_a, size_b - only_b)
+    return (np.maximum(size_a, size_b) == 255) | (most * (1 + similarity) >= (size_a + size_b) * similarity - 1e-9)
+
+
+def _compared(posts: DataFrame, similarity: float, neighbourhood: int) -> DataFrame:
+    """(a, b, place): candidates a < b of neighbourhoods, and with b null each set of a neighbourhood that is too large.
+
+    posts: in each partition sorted by place, all of a place in one. At most a neighbourhood and a batch are held.
+    """
+
+    def table(a: np.ndarray, b: np.ndarray | None, place: np.ndarray | None) -> pa.RecordBatch:
+        n = len(a)
+        columns = [pa.array(a), pa.nulls(n, pa.int64()) if b is None else pa.array(b), pa.nulls(n, pa.int64()) if place is None else pa.array(place)]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "place"])
 
-    hashed = sets.select("h", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
-    return hashed.mapInArrow(run, "prefix long, h long")
+    def whole(place: np.ndarray, h: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Neighbourhoods that are complete."""
+        if not len(place):
+            return
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        sizes = np.diff(np.append(first, len(place)))
+        many = np.repeat(sizes > neighbourhood, sizes)
+        if many.any():
+            yield table(h[many], None, place[many])
+        end = np.repeat(first + sizes, sizes)
+        at = np.flatnonzero(~many & (np.arange(len(place)) + 1 < end))
+        for step in range(1, neighbourhood):
+            at = at[at + step < end[at]]
+            if not len(at):
+                return
+            other = at + step
+            fits = _fitting(h[at], bits[at], h[other], bits[other], similarity) & (h[at] != h[other])
+            if fits.any():
+                a, b = h[at[fits]], h[other[fits]]
+                yield table(np.minimum(a, b), np.maximum(a, b), None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        crowd = None
+        for batch in batches:
+            rows = [batch.column(i).to_numpy() for i in range(3)]
+            single = rows[0] < 0
+            if single.any():
+                yield table(rows[1][single], None, rows[0][single])
+                rows = [x[~single] for x in rows]
+            if crowd is not None and len(rows[0]):
+                more = rows[0] == crowd
+                if more.any():
+                    yield table(rows[1][more], None, rows[0][more])
+                if more.all():
+                    continue
+                rows, crowd = [x[~more] for x in rows], None
+            rows = [np.concatenate([x, y]) for x, y in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            start = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield from whole(*(x[:start] for x in rows))
+            held = [x[start:] for x in rows]
+            if len(held[0]) > neighbourhood:
+                crowd = held[0][0]
+                yield table(held[1], None, held[0])
+                held = [np.zeros(0, np.int64)] * 3
+        yield from whole(*held)
+
+    return posts.mapInArrow(run, "a long, b long, place long")
+
+
+def _tiled(crowded: DataFrame, bits: DataFrame, similarity: float, neighbourhood: int) -> DataFrame:
+    """(a, b): candidates of neighbourhoods (place, a) of any size, in tiles of about `neighbourhood` sets."""
+    tiles = crowded.groupBy("place").agg(F.ceil(F.count("*") / neighbourhood).cast("int").alias("tiles"))
+    rows = crowded.select("place", F.col("a").alias("h")).join(bits, "h").join(tiles, "place").withColumn("own", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("place", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "h", "bits")
+    x, y = (rows.where(F.col("own") == F.col(at)).selectExpr("place", "lo", "hi", f"h h_{s}", f"h & 255 size_{s}", f"bits bits_{s}") for s, at in (("a", "lo"), ("b", "hi")))
+    most = F.expr("least(size_a - bit_count(bits_a & ~bits_b), size_b - bit_count(bits_b & ~bits_a))")
+    fitting = (F.greatest("size_a", "size_b") == 255) | (most * (1 + similarity) >= (F.col("size_a") + F.col("size_b")) * similarity - 1e-9)
+    pairs = x.join(y, ["place", "lo", "hi"]).where("(lo < hi and h_a <> h_b) or h_a < h_b").where(fitting)
+    return pairs.select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b"))
 
 
 def similar_sets(sets: DataFrame, similarity: float, recall: float = RECALL, depth: int = DEPTH, neighbourhood: int = NEIGHBOURHOOD) -> DataFrame:
@@ -82,29 +180,34 @@ def similar_sets(sets: DataFrame, similarity: float, recall: float = RECALL, dep
     size = F.least(F.size("tokens"), F.lit(255)).cast("bigint")
     sets = sets.withColumn("h", F.shiftleft(F.xxhash64("rep"), 8).bitwiseOR(size))
     # One bit of 64 for each token. A bit that only one of two sets has is a token that the other lacks.
-    bits = sets.select("h", F.expr("aggregate(tokens, 0L, (s, t) -> s | shiftleft(1L, cast(pmod(xxhash64(t), 64L) as int)))").alias("bits"))
-    left = wide(sets, "h")
+    bits = F.expr("aggregate(tokens, 0L, (s, t) -> s | shiftleft(1L, cast(pmod(xxhash64(t), 64L) as int)))")
+    sets = sets.withColumn("bits", bits)
+    left, n = wide(sets, "h"), sets.count()
     found: DataFrame | None = None
     while True:
         last = depth >= DEEPEST
-        # One shuffle of the posts serves their count and the selection of those that meet others, about a tenth.
-        posts = wide(_posts(left, trees_for(similarity, depth, recall), depth, seed=depth), "prefix")
-        shared = posts.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
-        meeting = cut(posts.join(shared.hint("merge"), "prefix"))
-        near = (meeting if last else meeting.where(F.col("n") <= neighbourhood)).join(bits, "h")
-        a, b = (near.selectExpr("prefix", f"h h_{s}", f"h & 255 size_{s}", f"bits bits_{s}") for s in "ab")
-        # The most tokens that can be common, by sizes and bits; sizes of 255 may be more and are let through.
-        most = F.expr("least(size_a - bit_count(bits_a & ~bits_b), size_b - bit_count(bits_b & ~bits_a))")
-        fitting = (F.greatest("size_a", "size_b") == 255) | (most * (1 + similarity) >= (F.col("size_a") + F.col("size_b")) * similarity - 1e-9)
-        pairs = a.join(b, "prefix").where("h_a < h_b").where(fitting).select("h_a", "h_b")
-        found = pairs if found is None else found.unionByName(pairs)
+        trees = trees_for(similarity, depth, recall)
+        hot = None
+        if not last and n > SAMPLE:
+            # Only where rows go depends on the sample: sets of a place that is taken as hot go on to the next round.
+            parts = n // SAMPLE
+            some = _posts(left.where(F.pmod("h", F.lit(parts * 256)) < 256), trees, depth, depth)
+            often = some.groupBy("place").count().where(F.col("count") * parts > F.lit(max(neighbourhood, n // HEAVY_PARTS)))
+            hot = np.array([r["place"] for r in often.select("place").collect()], dtype=np.int64)
+        posts = wide(_posts(left, trees, depth, depth, hot), "place").sortWithinPartitions("place")
+        out = cut(_compared(posts, similarity, neighbourhood))
+        pairs = out.where("b is not null").select("a", "b")
+        crowded = out.where("b is null").select("place", "a")
         if last:
-            break
-        crowded = meeting.where(F.col("n") > neighbourhood).select("h").distinct()
-        if crowded.isEmpty():
+            pairs = pairs.unionByName(_tiled(crowded, sets.select("h", "bits"), similarity, neighbourhood))
+        found = pairs if found is None else found.unionByName(pairs)
+        crowded = crowded.select(F.col("a").alias("h")).distinct()
+        if last or crowded.isEmpty():
             break
         left = cut(left.join(crowded, "h", "left_semi"))
+        n = left.count()
         depth += 1
+    found = found.selectExpr("a h_a", "b h_b")
     x, y = (sets.selectExpr(f"h h_{s}", f"rep rep_{s}", f"tokens tokens_{s}") for s in "ab")
     ordered = F.col("rep_a") < F.col("rep_b")
     pick = lambda name, s, t: F.when(ordered, F.col(f"{name}_{s}")).otherwise(F.col(f"{name}_{t}"))

@@ -73,3 +73,48 @@ def test_empty(spark):
 
 def test_trees():
     assert s.trees_for(0.6, 3, 0.9999) == 38 and s.trees_for(1.0, 5, 0.99) == 1
+
+
+def test_candidates_are_never_dropped_by_sizes_and_bits():
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        x = set(rng.sample(range(10**6), rng.randrange(1, 90)))
+        y = set(rng.sample(sorted(x), rng.randrange(1, len(x) + 1))) | set(rng.sample(range(10**6), rng.randrange(3)))
+        places = {t: rng.randrange(64) for t in x | y}
+        bits = [np.array([sum({1 << places[t] for t in z})], dtype=np.uint64).view(np.int64) for z in (x, y)]
+        h = [np.array([(rng.randrange(1 << 40) << 8) | min(len(z), 255)], dtype=np.int64) for z in (x, y)]
+        fits = s._fitting(h[0], bits[0], h[1], bits[1], 0.6)[0]
+        assert fits or len(x & y) < 0.6 * len(x | y)
+
+
+def test_places_have_the_order_of_the_values():
+    import numpy as np
+
+    hashes = np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    starts = np.arange(0, 4000, 4)
+    deep, flat = (s.signatures(hashes, starts, 5, d, 1) for d in (3, 1))
+    for t in range(5):
+        order = np.argsort(deep[:, t])
+        assert (np.diff(flat[order, t]) >= 0).all() and (deep[:, t] > 0).all() or t == 0
+
+
+def test_crowded_neighbourhoods_over_several_batches(spark):
+    """Thousands of sets that share most tokens: held rows, crowds, tiles; every pair against brute force."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        rows = [(f"q{i:04}", [f"core{j}" for j in range(8)] + [f"own{i % 90}", f"x{i % 7}"]) for i in range(180)] + [(f"z{i:03}", [f"v{i}", "a", "b", "c"]) for i in range(60)]
+        frame = spark.createDataFrame(rows, SCHEMA)
+        got = {tuple(r) for r in s.similar_records(frame, 0.6, 4, neighbourhood=20).collect()}
+        assert got == brute(rows, 0.6, 4) and len(got) > 16_000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_hot_places_by_sample(spark, monkeypatch):
+    monkeypatch.setattr(s, "SAMPLE", 50)
+    rows = made()
+    got = {tuple(r) for r in s.similar_records(spark.createDataFrame(rows, SCHEMA), 0.6, 4, neighbourhood=3).collect()}
+    assert got == brute(rows, 0.6, 4)
