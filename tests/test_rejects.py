@@ -46,3 +46,14 @@ def test_empty_table(spark):
 def test_loaded(spark, text):
     lines = spark.createDataFrame([(1, text)], "line_id long, raw_line string")
     assert rejects.loaded(lines).count() == (1 if text else 0)
+
+
+def test_lines_of_another_kind(spark):
+    fields = (rejects.Field("code", pattern=r"\A[A-Z]{2}\z"), rejects.Field("size", "number"), rejects.Field("at", "time"), rejects.Field("note"))
+    texts = ["AB;1.5;20200101000000;x, y", "AB;;20200101000000;", "ab;1;20200101000000;", "AB;one;20200101000000;", "AB;1", 'AB;"1"";20200101000000;', "AB;+2e1;20200101000000;z", "AB;1e999;20200101000000;z"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "n int, line string")
+    got = {r["line_id"]: r for r in rejects.read_lines(lines, "n", "line", fields, ";").collect()}
+    assert [got[i]["reason"] for i in range(8)] == [None, None, "value", "value", "columns", "quoting", None, None]
+    assert [got[i]["detail"] for i in (2, 3, 4)] == ["code", "size", "2 fields"]
+    assert [got[i]["size"] for i in (0, 1, 6, 7)] == [1.5, None, 20.0, float("inf")] and got[0]["note"] == "x, y"
+    assert rejects.loaded(lines, key="n", text="line", fields=fields, separator=";").columns == ["line_id", "code", "size", "at", "note"]
