@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,12 @@ def clean_token(token: Column) -> Column:
     return F.lower(F.regexp_replace(cut, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
 
 
+def all_clean_tokens(tokens: Column) -> Column:
+    """The sorted clean tokens of an array, as often as they occur; null and blank ones are left out."""
+    kept = F.filter(F.transform(tokens, clean_token), lambda t: t.isNotNull() & (t != ""))
+    return F.coalesce(F.array_sort(kept), F.array().cast("array<string>"))
+
+
 def clean_tokens(tokens: Column) -> Column:
     """The sorted distinct clean tokens of an array; null and blank ones are left out, a null array gives an empty one."""
     cleaned = F.transform(tokens, clean_token)
@@ -44,9 +50,3 @@ def qgrams(text: Column, q: int = 3) -> Column:
     n = F.length(text) - q + 1
     grams = F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(q))))
     return F.when(text.isNotNull(), F.coalesce(F.array_distinct(grams), F.array().cast("array<string>")))
-
-
-def qgram_length(strings: DataFrame, column: str, threshold: float) -> int:
-    """The greatest n-gram length with which strings of that similarity still share one: the shortest length times it."""
-    shortest = strings.agg(F.min(F.length(column))).first()[0]
-    return max(1, int((shortest or 0) * threshold))
