@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetrank.functions.runtime import cut
+
 #: A key is heavy if it holds at least one part in HEAVY_PARTS of the rows that were counted, so that there are at
 #: most HEAVY_PARTS heavy keys whatever the size of the data. This bounds what `lookup` broadcasts.
 HEAVY_PARTS = 2000
@@ -74,3 +76,20 @@ def numbered(
         .withColumn(as_name, F.col("_start") + F.col("_within"))
         .drop("_coarse", "_slice", "_one", "_within", "_start")
     )
+
+
+def twins(rows: DataFrame, key: str, value: str, size: int = 10_000) -> DataFrame:
+    """(a, b), a < b: all pairs of values of the same key. rows: key, value, each pair of them once.
+
+    A key with more than `size` values goes in tiles of about that size, each two of which meet in a task of their own.
+    """
+    counts = cut(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1"))
+    several = lookup(rows.select(key, value), key, counts, "_n", counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+    tiles = F.ceil(F.col("_n") / size).cast("int")
+    tiled = several.withColumns({"_tiles": tiles, "_own": F.pmod(F.xxhash64(value), tiles).cast("int")})
+    tiled = tiled.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    tiled = tiled.select(key, value, "_own", F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"))
+    left = tiled.where("_own = _lo").select(key, "_lo", "_hi", F.col(value).alias("_l"))
+    right = tiled.where("_own = _hi").select(key, "_lo", "_hi", F.col(value).alias("_r"))
+    met = left.join(right, [key, "_lo", "_hi"]).where("_lo < _hi or _l < _r")
+    return met.select(F.least("_l", "_r").alias("a"), F.greatest("_l", "_r").alias("b"))

@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetrank.functions.runtime import cut, ship, wide
+from facetrank.functions.skew import lookup, twins
 
-#: Largest number of sampled points that come to the driver; leaves are drawn from them to hold about LEAF points
-#: each, at most LEAVES of them before clusters are cut finer.
-SAMPLE = 20_000
-LEAVES = 4096
+#: Leaves are drawn from a sample to hold about LEAF points each, at most LEAVES of them before clusters are cut finer
+#: (beyond a billion points they hold more, up to TILE at some 10 billion).
 LEAF = 4000
+LEAVES = 250_000
+#: Sampled points that come to the driver: SAMPLE, or SAMPLED for each leaf, so two million (of 16 bytes) at most.
+SAMPLE = 20_000
+SAMPLED = 8
 #: Cells of the finest quadtree level are numbered by Morton codes of 2 * DEPTH bits.
 DEPTH = 26
 #: Most points of a leaf that one task joins with each other; a fuller leaf is tiled.
@@ -177,10 +180,22 @@ def inside(ring_list: list[np.ndarray], xs: np.ndarray, ys: np.ndarray) -> np.nd
 
 
 def draw(points: DataFrame, side: float, sample: int = SAMPLE, leaf: int = LEAF) -> Quadtree:
-    """Quadtree from the `sample` distinct locations (columns x, y) that come first by a hash: a bounded uniform sample."""
-    leaves = min(LEAVES, max(4, points.count() // leaf))
-    rows = points.select("x", "y").orderBy(F.xxhash64("x", "y"), "x", "y").limit(sample).toPandas()
-    return Quadtree(rows["x"].to_numpy(float), rows["y"].to_numpy(float), side, leaves)
+    """Quadtree from a sample of distinct locations (columns x, y), taken by a hash: uniform, and the same in any run."""
+    n = points.count()
+    leaves = min(LEAVES, max(4, n // leaf))
+    wanted = max(sample, SAMPLED * leaves)
+    rows = points.select("x", "y")
+    if n > wanted:
+        rows = rows.where(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 40)) < int(wanted / n * (1 << 40)))
+    found = rows.toPandas()
+    return Quadtree(found["x"].to_numpy(float), found["y"].to_numpy(float), side, leaves)
+
+
+def _tiles(sent: DataFrame, tile: int) -> DataFrame:
+    """The rows with `tiles`, the number of tiles of their leaf. Full leaves are a table of two numbers a row and at
+    most as many rows as there are leaves (LEAVES, and those of clusters), so it is broadcast."""
+    full = sent.groupBy("leaf").count().where(F.col("count") > tile).select("leaf", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+    return sent.join(F.broadcast(full), "leaf", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
 
 
 def _locations(points: DataFrame) -> DataFrame:
@@ -206,30 +221,12 @@ def near_pairs(places: DataFrame, distance: float, tree: Quadtree | None = None,
             yield pd.DataFrame({"leaf": corners[new].astype("int64"), "x": xs[row], "y": ys[row]})
 
     sent = places.select("x", "y").mapInPandas(send, "leaf long, x double, y double")
-    # One row a leaf, and the number of leaves is bounded: the sizes may come to the driver.
-    full = {
-        r["leaf"]: -(-r["count"] // tile) for r in sent.groupBy("leaf").count().where(F.col("count") > tile).collect()
-    }
-    if full:
-        tiles = F.coalesce(
-            *(F.when(F.col("leaf") == leaf, F.lit(n)) for leaf, n in sorted(full.items())), F.lit(1)
-        )
-        own = F.pmod(F.xxhash64("x", "y"), F.col("tiles")).cast("int")
-        sent = (
-            sent.withColumn("tiles", tiles)
-            .withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-            .select(
-                "leaf",
-                F.least("own", "other").alias("a"),
-                F.greatest("own", "other").alias("b"),
-                "own",
-                "x",
-                "y",
-            )
-        )
-    else:
-        sent = sent.selectExpr("leaf", "0 a", "0 b", "0 own", "x", "y")
+    sent = _tiles(sent, tile)
+    sent = (
+        sent.withColumn("own", F.pmod(F.xxhash64("x", "y"), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("leaf", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "x", "y")
+    )
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         leaf, a, b = int(frame["leaf"].iat[0]), int(frame["a"].iat[0]), int(frame["b"].iat[0])
@@ -278,10 +275,10 @@ def containing(places: DataFrame, areas: DataFrame, tree: Quadtree | None = None
     at_home = places.select("x", "y").mapInPandas(home, "leaf long, x double, y double")
     covers = areas.select("area_id", "geometry").mapInPandas(cover, "leaf long, area_id string, geometry string")
     # A leaf's points go in slices to several tasks; each slice meets all areas of the leaf.
-    sizes = {r["leaf"]: -(-r["count"] // TILE) for r in at_home.groupBy("leaf").count().where(F.col("count") > TILE).collect()}
-    slices = F.coalesce(*(F.when(F.col("leaf") == k, F.lit(n)) for k, n in sorted(sizes.items())), F.lit(1))
-    at_home = at_home.withColumn("slice", F.pmod(F.xxhash64("x", "y"), slices).cast("int"))
-    covers = covers.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    at_home = _tiles(at_home, TILE)
+    slices = at_home.groupBy("leaf").agg(F.max("tiles").alias("tiles")).where("tiles > 1")
+    at_home = at_home.withColumn("slice", F.pmod(F.xxhash64("x", "y"), F.col("tiles")).cast("int"))
+    covers = covers.join(F.broadcast(slices), "leaf", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
 
     def test(points: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"area_id": pd.Series(dtype=str), "x": pd.Series(dtype=float), "y": pd.Series(dtype=float)})]
@@ -307,6 +304,25 @@ def containing(places: DataFrame, areas: DataFrame, tree: Quadtree | None = None
     )
 
 
+def _members(points: DataFrame) -> DataFrame:
+    there = "id is not null and x is not null and y is not null and not isnan(x) and not isnan(y)"
+    return cut(points.select("id", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y")).where(there).distinct())
+
+
+def spatial_links(points: DataFrame, distance: float) -> DataFrame:
+    """(id, x, y, copies, links): one row an id and place: how many ids are at that very place, itself included, and how
+    many are at other places within the distance. Nothing is expanded into pairs of ids; an id with several places has
+    a row for each. Points as in `spatial_pairs`."""
+    members = _members(points)
+    places = cut(members.groupBy("x", "y").agg(F.count("*").alias("copies")))
+    near = near_pairs(places, distance)
+    both = near.unionByName(near.selectExpr("xb xa", "yb ya", "xa xb", "ya yb"))
+    links = both.join(places.selectExpr("x xb", "y yb", "copies"), ["xb", "yb"]).groupBy(F.col("xa").alias("x"), F.col("ya").alias("y")).agg(F.sum("copies").alias("links"))
+    of_places = cut(places.join(links, ["x", "y"], "left").select(F.struct("x", "y").alias("place"), "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links")))
+    rows = lookup(members.select("id", "x", "y", F.struct("x", "y").alias("place")), "place", of_places, "copies", members.count())
+    return rows.select("id", "x", "y", "copies", "links")
+
+
 def spatial_pairs(points: DataFrame, areas: DataFrame | None, distance: float) -> DataFrame:
     """(id_a, id_b), smaller key first, each pair once: keys of points within `distance`, and (area, point inside it).
 
@@ -314,19 +330,14 @@ def spatial_pairs(points: DataFrame, areas: DataFrame | None, distance: float) -
     an id with several places pairs by any of them, never with itself. Empty tables give no rows. Other columns are
     ignored. areas: area_id, geometry.
     """
-    # What is used several times is written once.
-    members = cut(
-        points.select("id", (F.col("x") + 0.0).alias("x"), (F.col("y") + 0.0).alias("y"))
-        .where("id is not null and x is not null and y is not null and not isnan(x) and not isnan(y)")
-        .distinct()
-    )
+    members = _members(points)
     places = _locations(members)
     tree = draw(places, distance)
     near = near_pairs(places, distance, tree)
     a, b = (members.selectExpr(f"id id_{s}", f"x x{s}", f"y y{s}") for s in "ab")
     apart = near.join(a, ["xa", "ya"]).join(b, ["xb", "yb"])
-    same = a.withColumnsRenamed({"xa": "x", "ya": "y"}).join(b.withColumnsRenamed({"xb": "x", "yb": "y"}), ["x", "y"])
-    pairs = apart.select("id_a", "id_b").unionByName(same.where("id_a < id_b").select("id_a", "id_b"))
+    same = twins(members.select(F.struct("x", "y").alias("place"), "id"), "place", "id")
+    pairs = apart.select("id_a", "id_b").unionByName(same.selectExpr("a id_a", "b id_b"))
     if areas is not None:
         held = containing(places, areas, tree).join(members, ["x", "y"])
         pairs = pairs.unionByName(held.selectExpr("area_id id_a", "id id_b"))

@@ -67,3 +67,35 @@ def test_quadtree_leaves_cover_the_plane():
     tree = sj.Quadtree(xs, ys, 0.01, 40)
     assert tree.starts[0] == 0 and len(set(tree.leaf(xs, ys))) > 10
     assert set(tree.touched(0.2, 0.2, 0.4, 0.5)) >= set(tree.leaf(np.array([0.2, 0.3, 0.4]), np.array([0.2, 0.5, 0.3])))
+
+
+@pytest.mark.parametrize("parts", [2000, 2])
+def test_links_as_by_brute_force(spark, monkeypatch, parts):
+    monkeypatch.setattr("facetrank.functions.skew.HEAVY_PARTS", parts)
+    rng = np.random.default_rng(8)
+    rows = [(f"p{i:03}", float(x), float(y)) for i, (x, y) in enumerate(rng.random((150, 2)).round(2))]
+    rows += [(f"c{i:02}", 0.5, 0.5) for i in range(40)] + rows[:5] + [(None, 0.1, 0.1), ("n", None, 1.0), ("nan", float("nan"), 1.0)]
+    got = {(r["id"], r["x"], r["y"]): (r["copies"], r["links"]) for r in sj.spatial_links(spark.createDataFrame(rows, "id string, x double, y double"), 0.05).collect()}
+    clean = {r for r in rows if r[0] is not None and r[1] is not None and r[1] == r[1]}
+    want = {}
+    for r in clean:
+        apart = [np.hypot(r[1] - o[1], r[2] - o[2]) for o in clean if o[1:] != r[1:]]
+        want[r] = (sum(o[1:] == r[1:] for o in clean), sum(d <= 0.05 + sj.SLACK for d in apart))
+    assert got == want
+    assert sj.spatial_links(spark.createDataFrame([], "id string, x double, y double"), 0.05).count() == 0
+
+
+@pytest.mark.parametrize("size", [10_000, 3])
+def test_twins(spark, size):
+    from facetrank.functions.skew import twins
+
+    rows = [("k", f"v{i:02}") for i in range(23)] + [("l", "a"), ("l", "b"), ("m", "z")]
+    got = [tuple(r) for r in twins(spark.createDataFrame(rows, "k string, v string"), "k", "v", size).collect()]
+    want = {(a, b) for x, a in rows for y, b in rows if x == y and a < b}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_leaves_grow_with_the_points(spark):
+    places = spark.range(300_000).select((F.col("id") % 997).cast("double").alias("x"), (F.col("id") / 997).alias("y"))
+    few, many = (len(sj.draw(places, 0.0, leaf=leaf).starts) for leaf in (30_000, 100))
+    assert 10 <= few < 100 and many > 2000
