@@ -19,7 +19,7 @@ from facetrank.operators import analytics, pivot, points, ranking
 from facetrank.operators.normalize import normalized
 from facetrank.operators.ranking import Criterion
 from facetrank.operators.vectors import keyword_vectors
-from facetrank.plans import sqlfront
+from facetrank.plans import checks, sqlfront
 from facetrank.plans.engine import Engine
 from facetrank.sources import rest
 
@@ -251,7 +251,7 @@ RANKED: dict[str, Ranked] = {
     "temporal_knn_events": Ranked("events", "event_id", (date("at", "ts", "2024-01-15T08:30:00"),)),
     "spatial_knn": Ranked("part", "p_partkey", (point("place", "p_retailprice", "p_size", (1200.0, 25.0)),)),
     "cat_topk": Ranked("part", "p_partkey", (keywords("tags", _PART_TOKENS, _PART_LIST, ["blue", "STEEL", "Brand#23"]),)),
-    "text_topk": Ranked("part", "p_partkey", (text("name", "p_name", "green ivory"),)),
+    "text_topk": Ranked("part", "p_partkey", (text("name", "p_name", "small green ring"),)),
     "text_topk_q2": Ranked("customer", "c_custkey", (text("name", "c_name", "Customer#000000042", q=2),)),
     "metric_l1": Ranked("embeddings", "vec_id", (vector("v", "embedding", _VECTOR, "manhattan"),)),
     "metric_l2": Ranked("embeddings", "vec_id", (vector("v", "embedding", _VECTOR, "euclidean"),)),
@@ -512,11 +512,11 @@ def _part_points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def points_in_box(spark: SparkSession, folder: str) -> DataFrame:
-    return points.in_box(_part_points(spark, folder), "place", (1000, 10), (1200, 20)).select("id")
+    return points.in_box(_part_points(spark, folder), "place", (920, 10), (960, 20)).select("id")
 
 
 def points_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    near = points.nearest(_part_points(spark, folder), "place", (1100.0, 30.0), 25.0, 40)
+    near = points.nearest(_part_points(spark, folder), "place", (950.0, 30.0), 25.0, 40)
     return near.select("id", F.round("distance", 6).alias("distance"))
 
 
@@ -546,37 +546,62 @@ def _flat(found) -> DataFrame:
     return found.rows.select("combo", "rank", "id", F.round("score", 6).alias("score"), *(F.round(f"s{j}", 6).alias(f"{n}_score") for j, n in enumerate(found.names)), *(F.col(f"x_{e}").alias(e) for e in found.extra))
 
 
+_WORLD = {"persons": (0.9, 0.3), "position": (0.5, 0.8), "positive_sentiment": (0.2, 0.6)}
+_PEOPLE = ["rhosyn jifakalu", "zaro fisekeha"]
+
+
 def news_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    """Articles by persons, time and place, with two combinations of weights and an extra column."""
+    """Articles by persons, place and sentiment, with two combinations of weights and an extra column."""
+    asked = {"persons": _PEOPLE, "position": "POINT(11.5 48.25)", "positive_sentiment": 1.25}
     request = {
         "k": "5", "algorithm": "threshold", "output": {"extra_columns": ["negative_sentiment"]},
-        "queries": [
-            {"column": "persons", "value": ["quill zajuvanu", "rhosyn duhakafu"], "weights": ["1.0", "0.8"]},
-            {"column": "article_ts", "value": "2020-12-02 17:00:00", "weights": ["1.0", "0.4"]},
-            {"column": "position", "value": "POINT(-116.9 60.8)", "weights": ["1.0", "0.7"]},
-        ],
+        "queries": [{"column": c, "value": v, "weights": [str(w) for w in _WORLD[c]]} for c, v in asked.items()],
     }
     return _flat(news_engine(spark, folder).search(request))
 
 
+_PERSONS = """list_distinct(list_transform(list_filter(list_transform(string_split(regexp_replace(persons, '^"|"$', '', 'g'), ';'), lambda t: trim(t)), lambda t: t <> ''),
+  lambda t: case when instr(t, '|') > 1 then t[:instr(t, '|') - 1] else t end))"""
+_NEWS_COLUMNS = "article_ts longitude latitude place_id persons organizations location_names positive_sentiment negative_sentiment loaded_at".split()
+#: The same for SQL: of the rows of an article, the greatest as a whole counts.
+_NEWS = Ranked(
+    "articles", "article_id",
+    (
+        keywords("persons", "", f"nullif({_PERSONS}, [])", _PEOPLE, weights=_WORLD["persons"]),
+        point("position", "longitude", "latitude", (11.5, 48.25), weights=_WORLD["position"]),
+        number("positive_sentiment", "positive_sentiment", 1.25, weights=_WORLD["positive_sentiment"]),
+    ),
+    k=5, extra=("negative_sentiment",),
+    sql_source="(select * from (select *, row_number() over (partition by article_id order by " + ", ".join(f"{c} desc nulls last" for c in _NEWS_COLUMNS)
+    + ") place from articles where article_id <> '') where place = 1)",
+)
+
+
 def news_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    """Articles by organizations (as vectors), place and sentiment, by pivots."""
-    terms = table(spark, folder, "lda_dictionary").where("lda_vector is not null").orderBy("term").limit(2).collect()
+    """Articles by organizations (as vectors), place and sentiment, by pivots; the weight of the last one isn't given."""
+    terms = table(spark, folder, "lda_dictionary").where("lda_vector is not null").orderBy("term").limit(3).collect()
     request = {
         "k": 5, "algorithm": "pivot_based",
         "queries": [
-            {"column": "organizations", "value": [t["term"] for t in terms], "weights": ["1.0", "0.8"], "scale": 3},
-            {"column": "position", "value": "POINT(-74.94 42.15)", "weights": ["1.0", "0.7"], "scale": 10},
-            {"column": "positive_sentiment", "value": 2.5, "weights": ["1.0", "0.6"], "scale": 1},
+            {"column": "organizations", "value": [t["term"] for t in terms], "weights": ["0.4", "0.9"], "scale": 2},
+            {"column": "position", "value": "POINT(11.5 48.25)", "weights": ["0.6", "0.2"], "scale": 20},
+            {"column": "positive_sentiment", "value": 1.25, "scale": 0.5},
         ],
     }
     return _flat(news_engine(spark, folder).search(request))
 
 
+def results_flat(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested results as one row a result and attribute."""
+    found = _order_engine(spark, folder).sql("SELECT * WHERE o_totalprice ~= 150000 AND o_orderdate ~= '1996-06-01' WEIGHTS 0.8, 0.4 LIMIT 10")
+    rows = analytics.flattened(found.nested)
+    return rows.select("rank", "id", "name", F.round("score", 6).alias("score"), F.round("attribute_score", 6).alias("attribute_score"))
+
+
 _PLAIN = (
     spatial_haversine, list_prefix, sim_matrix, sql_q1, sql_between_filter, json_filter, pivot_embed, pivot_search, pivot_search_bounded,
     pivot_auto, word2vec, doc_similarity, keyword_freq, keyword_share, rank_align, rank_compare, catalog, bounding_box, histogram, qgram_sets,
-    number_statistics, filter_json, score_stats, nra_rescored, points_in_box, points_nearest, news_threshold, news_pivot,
+    number_statistics, filter_json, score_stats, nra_rescored, points_in_box, points_nearest, news_threshold, news_pivot, results_flat,
 )
 
 QUERIES: dict[str, Query] = RANKED | {f.__name__: f for f in _PLAIN}
@@ -587,6 +612,16 @@ from (select id, score from ({RANKED["ta_two"].sql().replace("round(score, 6)",
 full join (select id, score from ({_MIXED.sql().replace("round(score, 6)", "round(score, 9)")})) y using (id)"""
 
 ORACLE: dict[str, str] = {name: one.sql() for name, one in RANKED.items()} | {
+    "news_threshold": f"select combo, rank, id, score, persons_score, position_score, positive_sentiment_score, negative_sentiment::varchar negative_sentiment from ({_NEWS.sql()})",
+    "results_flat": " union all ".join(
+        f"select rank, id, '{n}' as name, score, {f.name}_score attribute_score from ({RANKED['ta_two'].sql()})" for n, f in zip(_SQL_NAMES, _TWO)
+    ),
+    "catalog": """
+with o as (select * from orders order by o_orderkey::varchar limit 1)
+select 'o_totalprice' as "column", 'numerical_topk' operation, 'NUMBER' datatype, o_totalprice::varchar sample, true queryable from o
+union all select 'o_orderdate', 'temporal_topk', 'DATE_TIME', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z'), true from o
+union all select 'o_orderpriority', 'categorical_topk', 'KEYWORD_SET', '[' || o_orderpriority || ']', true from o""",
+    "bounding_box": f"with {checks.POINTS} select min(x) min_x, min(y) min_y, max(x) max_x, max(y) max_y from points",
     "spatial_haversine": """
 with p as (select s_suppkey::varchar id, radians(s_suppkey * 7 % 360 - 180) lon, radians(s_suppkey * 11 % 170 - 85) lat from supplier)
 select id, round(degrees(2 * asin(sqrt(sin((radians(41.9) - lat) / 2) ** 2 + cos(lat) * cos(radians(41.9)) * sin((radians(12.5) - lon) / 2) ** 2))), 6) degrees
@@ -647,10 +682,10 @@ select name, n, round(a, 6) "min", round(b, 6) "max", round(m, 6) "avg", round(s
     "nra_rescored": f"""
 select rank, id, score, round((0.8 * price_score + 0.4 * day_score) / (0.8 + 0.4), 6) exact_score
 from ({RANKED["nra"].sql().replace("round(s0, 6)", "s0").replace("round(s1, 6)", "s1")})""",
-    "points_in_box": "select p_partkey::varchar id from part where p_retailprice between 1000 and 1200 and p_size between 10 and 20",
+    "points_in_box": "select p_partkey::varchar id from part where p_retailprice between 920 and 960 and p_size between 10 and 20",
     "points_nearest": """
-select p_partkey::varchar id, round(sqrt((p_retailprice - 1100) ** 2 + (p_size - 30) ** 2), 6) distance from part
-where sqrt((p_retailprice - 1100) ** 2 + (p_size - 30) ** 2) <= 25 order by sqrt((p_retailprice - 1100) ** 2 + (p_size - 30) ** 2), id limit 40""",
+select p_partkey::varchar id, round(sqrt((p_retailprice - 950) ** 2 + (p_size - 30) ** 2), 6) distance from part
+where sqrt((p_retailprice - 950) ** 2 + (p_size - 30) ** 2) <= 25 order by sqrt((p_retailprice - 950) ** 2 + (p_size - 30) ** 2), id limit 40""",
     "histogram": """
 select case when o_totalprice < 0 then 0 when o_totalprice >= 500000 then 11 else floor(o_totalprice / 50000) + 1 end::bigint bucket, count(*) n
 from orders where o_totalprice is not null group by 1""",

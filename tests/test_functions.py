@@ -103,3 +103,20 @@ def test_numbered(spark, slices):
     assert sorted(r["n"] for r in got if r["g"] == "g") == list(range(1, 51))
     order = [r["x"] for r in sorted((r for r in got if r["g"] == "g"), key=lambda r: r["n"])]
     assert order == sorted(order)
+
+
+def test_scales_and_helpers_that_no_query_uses(spark):
+    from facetrank.functions import measures
+    from facetrank.functions.text import qgram_length
+    from facetrank.operators import analytics, pivot
+
+    strings = spark.createDataFrame([("abcdefgh",), ("abcde",), (None,)], "s string")
+    assert qgram_length(strings, "s", 0.8) == 4 and qgram_length(strings.limit(0), "s", 0.8) == 1
+    mean = spark.range(1).select(measures.vector_mean(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(6.0))), F.lit(2), 2).alias("v")).first()["v"]
+    assert mean == [2.0, 4.0]
+    rows = spark.createDataFrame([(str(i), [float(i * i)]) for i in range(6)] + [("n", None)], "id string, v array<double>")
+    metric = pivot.Metric("v", "manhattan", 1.0, ((0.0,), (9.0,)), ("pd_v_0", "pd_v_1"))
+    assert pivot.range_scale(pivot.embedded(rows, [metric]), metric) == 25.0
+    assert pivot.neighbour_scale(rows, metric, (10.0,), 3) == 9.0
+    nested = spark.sql("select 0 combo, 1 rank, 'a' id, 0.5D score, array(named_struct('name', 'x', 'value', '1', 'score', 0.25D), named_struct('name', 'y', 'value', '2', 'score', 0.75D)) attributes")
+    assert [(r["name"], r["value"], r["attribute_score"]) for r in analytics.flattened(nested).collect()] == [("x", "1", 0.25), ("y", "2", 0.75)]
