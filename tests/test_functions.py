@@ -117,6 +117,6 @@ def test_scales_and_helpers_that_no_query_uses(spark):
     rows = spark.createDataFrame([(str(i), [float(i * i)]) for i in range(6)] + [("n", None)], "id string, v array<double>")
     metric = pivot.Metric("v", "manhattan", 1.0, ((0.0,), (9.0,)), ("pd_v_0", "pd_v_1"))
     assert pivot.range_scale(pivot.embedded(rows, [metric]), metric) == 25.0
-    assert pivot.neighbour_scale(rows, metric, (10.0,), 3) == 9.0
+    assert pivot.neighbour_scale(rows, metric, (10.0,), 3) == 6.0
     nested = spark.sql("select 0 combo, 1 rank, 'a' id, 0.5D score, array(named_struct('name', 'x', 'value', '1', 'score', 0.25D), named_struct('name', 'y', 'value', '2', 'score', 0.75D)) attributes")
     assert [(r["name"], r["value"], r["attribute_score"]) for r in analytics.flattened(nested).collect()] == [("x", "1", 0.25), ("y", "2", 0.75)]
