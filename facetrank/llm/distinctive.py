@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from facetrank.functions.runtime import cut
 from facetrank.functions.skew import lookup
-from facetrank.functions.text import clean_tokens
+from facetrank.functions.text import all_clean_tokens, clean_tokens
 
 
 def residual_idf(df: Column, cf: Column, n: Column) -> Column:
@@ -34,11 +34,22 @@ def token_pairs(records: DataFrame) -> DataFrame:
     )
 
 
+def token_counts(records: DataFrame) -> DataFrame:
+    """(id, token, tf): each clean token of each id, and how often the id's array has it.
+
+    As `token_pairs`, but repetitions within an array count. Of several rows of an id the one with the greatest array
+    of clean tokens, in order, counts.
+    """
+    arrays = records.where("id is not null").groupBy("id").agg(F.max(all_clean_tokens(F.col("tokens"))).alias("tokens"))
+    return arrays.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+
+
 def distinctiveness(pairs: DataFrame, n_records: int | None = None) -> DataFrame:
     """(id, token, tf, df, cf, score) of each pair (id, token, tf), one row a pair; ties keep equal scores.
 
     n_records defaults to the number of ids that hold a token. A collection without tokens gives no rows.
-    With tf = 1 throughout, cf equals df and the score falls strictly as df grows, from nearly 0.
+    With tf = 1 throughout, cf equals df and the score falls strictly as df grows, from nearly 0; a token that occurs
+    more often than in as many records has a score above that, and above 0 if it is concentrated in few of them.
     """
     pairs = cut(pairs)
     n = n_records or pairs.select("id").distinct().count()

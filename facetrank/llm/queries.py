@@ -14,9 +14,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Every clean token of every id with its score."""
-    scored = distinctive.distinctiveness(distinctive.token_pairs(table(spark, folder, "token_sets")))
-    return scored.select("id", "token", "df", F.round("score", 9).alias("score"))
+    """Every clean token of every id with its score, by the occurrences in its record and in all."""
+    scored = distinctive.distinctiveness(distinctive.token_counts(table(spark, folder, "token_sets")))
+    return scored.select("id", "token", "tf", "df", "cf", F.round("score", 9).alias("score"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,12 +174,17 @@ held as (select token, count(*) df from clean group by token),
 shared as (select id, token, df, min(df) over (partition by id) least from clean join held using (token) where df >= 2)
 select id, token from shared where df = least and df <= 3
 """,
-    "p1_scores": "with "
-    + _CLEAN
-    + """,
-held as (select token, count(*) df from clean group by token),
-n as (select count(distinct id)::double n from clean)
-select id, token, df, round(log2((1 - exp(-df / n)) / (df / n)), 9) score from clean join held using (token), n
+    "p1_scores": r"""
+with cleaned as (
+  select id, list_sort(list_filter(list_transform(list_filter(tokens, lambda t: t is not null),
+    lambda t: lower(regexp_replace(case when instr(t, '|') > 1 then t[:instr(t, '|') - 1] else t end, '^\s+|\s+$', '', 'g'))), lambda t: t <> '')) tokens
+  from token_sets where id is not null
+),
+arrays as (select id, max(coalesce(tokens, [])) tokens from cleaned group by id),
+pairs as (select id, token, count(*) tf from (select id, unnest(tokens) token from arrays) group by id, token),
+held as (select token, count(*) df, sum(tf)::bigint cf from pairs group by token),
+n as (select count(distinct id)::double n from pairs)
+select id, token, tf, df, cf, round(tf * log2((1 - exp(-cf / n)) / (df / n)), 9) score from pairs join held using (token), n
 """,
     "p4_found": """
 with usable as (
@@ -197,4 +202,11 @@ ranked as (
 select distinct least(q, c) term_a, greatest(q, c) term_b from ranked where place <= 3 and d <= 1.0
 """,
     "p6_found": _SIMILAR + "select id_a, id_b from pairs",
+    "p6_links": _SIMILAR
+    + """, arrays as (select id, list_sort(list(token)) t, count(*) n from clean group by id having count(*) >= 4),
+classes as (select id, min(id) over (partition by t) rep, count(*) over (partition by t) copies from arrays),
+both_ways as (select id_a a, id_b b from pairs union all select id_b, id_a from pairs),
+link as (select a id, count(*) links from both_ways join classes x on x.id = a join classes y on y.id = b where x.rep <> y.rep group by a)
+select id, rep, copies, coalesce(links, 0) links from classes left join link using (id)
+""",
 }

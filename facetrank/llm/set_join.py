@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetrank.functions.runtime import cut, ship, wide
-from facetrank.functions.skew import HEAVY_PARTS
+from facetrank.functions.skew import HEAVY_PARTS, twins
 from facetrank.functions.text import clean_tokens
 
 RECALL = 0.9999
@@ -254,7 +254,7 @@ def similar_records(records: DataFrame, similarity: float = 0.6, least: int = 4,
     pairs = similar_sets(sets, similarity, **forest).select("rep_a", "rep_b")
     a, b = (members.selectExpr(f"id id_{s}", f"rep rep_{s}") for s in "ab")
     across = pairs.join(a, "rep_a").join(b, "rep_b").select("id_a", "id_b")
-    same = a.join(b, a["rep_a"] == b["rep_b"]).where("id_a < id_b").select("id_a", "id_b")
+    same = twins(members, "rep", "id").selectExpr("a id_a", "b id_b")
     return across.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).unionByName(same)
 
 

@@ -51,3 +51,12 @@ def test_telling_tokens(rows):
 def test_empty(rows):
     assert d.telling_tokens(rows.limit(0)).count() == 0
     assert d.telling_tokens(rows.where("id = 'e'")).count() == 0
+
+
+def test_occurrences_count_and_concentration_is_rewarded(rows):
+    pairs = {(r["id"], r["token"]): r["tf"] for r in d.token_counts(rows).collect()}
+    assert pairs["i", "pair"] == 2 and pairs["d", "common"] == 1 and len(pairs) == 14
+    scored = {(r["id"], r["token"]): r for r in d.distinctiveness(d.token_counts(rows)).collect()}
+    pair, rare = scored["i", "pair"], scored["a", "rare"]
+    assert pair["df"] == rare["df"] == 2 and pair["cf"] == 3 and pair["score"] > 0 > rare["score"], "held by as many, but more often"
+    assert d.token_counts(rows.limit(0)).count() == 0
