@@ -1,9 +1,10 @@
 """Most similar vectors for every vector, by a permutation index.
 
 Pivots are drawn from a bounded sample. Each vector is represented by its PREFIX nearest pivots in order, and posted in
-the inverted files of its POSTS nearest ones. Within a file, each vector is compared with all others by exact distance,
-as one matrix product a block: a choice of candidates by the footrule distance of the prefixes, which ties often, loses
-neighbours as files grow. The k best of all its files are the vector's neighbours.
+the inverted files of its POSTS nearest ones. Within a file, the others are ranked by the footrule distance of their
+prefixes, and those that come first, a share of the file and all of equal rank, are compared by exact distance. The share
+makes their number grow with the file, so that recall doesn't fall as files get longer; a share of 1 compares whole files.
+The k best of all its files are the vector's neighbours.
 A file that is too long is split by a second pivot of the prefix, and what is still too long goes in tiles.
 
 Exact copies are one vector until the end.
@@ -27,7 +28,9 @@ PREFIX = 5
 DENSITY = 8
 PIVOTS = (32, 8192)
 #: Most vectors of a file that one task compares with each other.
-FILE = 20_000
+FILE = 4000
+#: Share of a file's vectors that are compared exactly, and how many they are at least.
+RERANK, RERANK_LEAST = 0.1, 64
 
 
 def usable(vector: Column, size: int) -> Column:
@@ -47,23 +50,39 @@ def _prefixes(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarra
     return out
 
 
-def _neighbours(ids: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.ndarray, k: int) -> pd.DataFrame:
-    """For each of `left` (positions), the k nearest of `right`, all of them compared; of equally near ones the first."""
+def _ones(prefixes: np.ndarray) -> np.ndarray:
+    """Of each prefix, for each pivot and each length t, whether the pivot is among the first t: the footrule distance
+    of two prefixes, where a missing pivot counts as one behind the last, falls by 2 for each of these they share."""
+    n, length = prefixes.shape
+    pivots, column = np.unique(prefixes, return_inverse=True)
+    column = column.reshape(n, length)
+    out = np.zeros((n, len(pivots), length), dtype=np.float32)
+    for i in range(length):
+        out[np.arange(n), column[:, i], i:] = 1
+    return out.reshape(n, -1)
+
+
+def _neighbours(ids: np.ndarray, vectors: np.ndarray, prefixes: np.ndarray, left: np.ndarray, right: np.ndarray, k: int, rerank: float) -> pd.DataFrame:
+    """For each of `left` (positions), the k nearest of `right` that are compared; of equally near ones the first."""
     rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    squares = (vectors**2).sum(axis=1)
-    others = vectors[right]
-    slack = 1e-9 * squares.max()
-    block = max(1, 1_000_000 // len(right))
+    size = len(right)
+    compared = size if rerank >= 1 else min(size, max(RERANK_LEAST, k + 1, int(np.ceil(rerank * size))))
+    ones = _ones(prefixes) if compared < size else None
+    block = max(1, 2_000_000 // (size + compared * vectors.shape[1]))
     for a in range(0, len(left), block):
         some = left[a : a + block]
-        d = squares[right] + squares[some][:, None] - 2 * vectors[some] @ others.T
-        d[some[:, None] == right[None]] = np.inf
-        n = min(k, len(right))
-        # Products round: what may be among the k nearest is measured again by differences.
-        bound = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-        at, of = np.nonzero(np.isfinite(d) & (d <= bound + slack))
+        if ones is None:
+            at, of = np.divmod(np.arange(len(some) * size), size)
+        else:
+            shared = ones[some] @ ones[right].T
+            # Of equal footrule distances all are compared.
+            least = np.partition(shared, size - compared, axis=1)[:, size - compared : size - compared + 1]
+            at, of = np.nonzero(shared >= least)
         q, c = some[at], right[of]
-        exact = np.sqrt(((vectors[q] - vectors[c]) ** 2).sum(axis=1))
+        q, c = q[q != c], c[q != c]
+        exact = np.empty(len(q))
+        for b in range(0, len(q), 20_000):
+            exact[b : b + 20_000] = np.sqrt(((vectors[q[b : b + 20_000]] - vectors[c[b : b + 20_000]]) ** 2).sum(axis=1))
         order = np.lexsort((c, exact, q))
         q, c, exact = q[order], c[order], exact[order]
         first = np.arange(len(q)) - np.searchsorted(q, q) < k
@@ -72,10 +91,11 @@ def _neighbours(ids: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: n
     return pd.DataFrame({"q": ids[q], "c": ids[c], "d": d})
 
 
-def neighbours(vectors: DataFrame, k: int, posts: int = POSTS, prefix: int = PREFIX, pivots: int | None = None, file: int = FILE) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int, posts: int = POSTS, prefix: int = PREFIX, pivots: int | None = None, file: int = FILE, rerank: float = RERANK) -> DataFrame:
     """(q, near ARRAY<STRUCT<d, c>>): for each vector its k nearest others found, nearest first; equal ones by key.
 
-    vectors: key STRING, v ARRAY<DOUBLE>, all usable, of one length, distinct keys and distinct vectors.
+    vectors: key STRING, v ARRAY<DOUBLE>, all usable, of one length, distinct keys and distinct vectors. rerank: share
+    of a file that is compared exactly; 1 compares whole files.
     """
     n = vectors.count()
     pivots = pivots or int(np.clip(DENSITY * np.sqrt(n), *PIVOTS))
@@ -110,9 +130,9 @@ def neighbours(vectors: DataFrame, k: int, posts: int = POSTS, prefix: int = PRE
         posted = posted.withColumn("own", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).withColumn(
             "other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
         )
-        posted = posted.select("file", "second", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "key", "v")
+        posted = posted.select("file", "second", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "key", "v", "p")
     else:
-        posted = posted.selectExpr("file", "second", "0 a", "0 b", "0 own", "key", "v")
+        posted = posted.selectExpr("file", "second", "0 a", "0 b", "0 own", "key", "v", "p")
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"q": pd.Series(dtype=str), "c": pd.Series(dtype=str), "d": pd.Series(dtype=float)})
@@ -121,13 +141,14 @@ def neighbours(vectors: DataFrame, k: int, posts: int = POSTS, prefix: int = PRE
         frame = frame.sort_values("key", ignore_index=True)
         ids = frame["key"].to_numpy()
         v = np.frombuffer(b"".join(frame["v"]), dtype=float).reshape(len(ids), -1)
+        p = np.array(frame["p"].tolist(), dtype=np.int32)
         own = frame["own"].to_numpy()
         left, right = np.flatnonzero(own == frame["a"].iat[0]), np.flatnonzero(own == frame["b"].iat[0])
         if not len(left) or not len(right):
             return none
         if frame["a"].iat[0] == frame["b"].iat[0]:
-            return _neighbours(ids, v, left, left, k)
-        return pd.concat([_neighbours(ids, v, left, right, k), _neighbours(ids, v, right, left, k)])
+            return _neighbours(ids, v, p, left, left, k, rerank)
+        return pd.concat([_neighbours(ids, v, p, left, right, k, rerank), _neighbours(ids, v, p, right, left, k, rerank)])
 
     cell = ["file", "second", "a", "b"]
     found = wide(posted, *cell).groupBy(*cell).applyInPandas(search, "q string, c string, d double")
@@ -135,7 +156,7 @@ def neighbours(vectors: DataFrame, k: int, posts: int = POSTS, prefix: int = PRE
     return found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "c"))), 1, k).alias("near"))
 
 
-def near_terms(dictionary: DataFrame, k: int = 3, most: float = 1.0, size: int = 50, **index: int) -> DataFrame:
+def near_terms(dictionary: DataFrame, k: int = 3, most: float = 1.0, size: int = 50, **index: float) -> DataFrame:
     """(term_a, term_b), smaller term first: one is among the k nearest of the other and they are at most `most` apart.
 
     dictionary: term STRING, lda_vector ARRAY<DOUBLE>. Null terms and unusable vectors are left out; repeated rows
