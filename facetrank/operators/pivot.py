@@ -146,6 +146,12 @@ def stored(rows: DataFrame, metrics: Sequence[Metric], path: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def exported(rows: DataFrame, metrics: Sequence[Metric], path: str) -> None:
+    """The embedding as text files `id;vector`: all pivot distances of a row, joined by commas, empty where missing."""
+    vector = F.array_join(F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for m in metrics for c in m.columns)), ",")
+    embedded(rows, metrics).select("id", vector.alias("vector")).write.mode("overwrite").options(sep=";", header=True).csv(path)
+
+
 def range_scale(rows: DataFrame, metric: Metric) -> float:
     """Another scale: the widest range of the attribute's pivot distances."""
     ranges = rows.agg(*(F.max(c) - F.min(c) for c in metric.columns)).first()

@@ -84,6 +84,68 @@ def distances(entities: DataFrame, criterion: Criterion) -> DataFrame:
     return entities.select("id", criterion.value.alias("v")).select("id", criterion.between(F.col("v"), criterion.literal()).alias("d"))
 
 
+def batch(entities: DataFrame, criteria: Sequence[Criterion], k: int, block: int = 50) -> DataFrame:
+    """(query, rank, id, d): the k nearest entities of each criterion, which is named by its `name`. Any number of query
+    values of the same or other attributes; each `block` of them is one scan, with one heap a query."""
+    if k < 1 or not criteria:
+        raise ValueError("k must be positive, and there must be a query")
+    criteria = resolved(entities, criteria)
+    out: DataFrame | None = None
+    for a in range(0, len(criteria), block):
+        some = criteria[a : a + block]
+        near = nearest(entities.where("id is not null"), some, k)
+        name = F.get(F.array(*(F.lit(c.name) for c in some)), F.col("j")).alias("query")
+        rows = near.select(name, F.posexplode("near").alias("i", "x")).select("query", (F.col("i") + 1).cast("bigint").alias("rank"), "x.id", "x.d")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _counts(criterion: Criterion, d: Column) -> Column:
+    """Whether an entity at that distance can be in the attribute's list. Sets without a common element aren't listed."""
+    there = d.isNotNull() & ~F.isnan(d)
+    return there & (d < 1 - 1e-6) if criterion.sets else there
+
+
+def listed(entities: DataFrame, criterion: Criterion, length: int) -> DataFrame:
+    """(id, d): the `length` entities nearest by one attribute."""
+    return distances(entities, criterion).where(_counts(criterion, F.col("d"))).orderBy("d", "id").limit(length)
+
+
+def nearest(entities: DataFrame, criteria: Sequence[Criterion], length: int, ids: bool = True) -> DataFrame:
+    """(j, near ARRAY<STRUCT<d[, id]>>, positive): of each criterion its `length` nearest entities, nearest first, and
+    its least positive distance. One scan for all criteria; tasks send on a heap of `length` for each."""
+    rows = entities.select("id", *(c.value.alias(f"v{j}") for j, c in enumerate(criteria)))
+    rows = rows.select("id", *(c.between(F.col(f"v{j}"), c.literal()).alias(f"d{j}") for j, c in enumerate(criteria)))
+    rows = rows.withColumn("_slice", F.spark_partition_id() % width(entities.sparkSession))
+    aggregates = []
+    for j, c in enumerate(criteria):
+        d = F.col(f"d{j}")
+        item = F.struct(d.alias("d"), F.col("id")) if ids else F.struct(d.alias("d"))
+        counts = _counts(c, d)
+        aggregates += [smallest(F.when(counts, item), length).alias(f"n{j}"), F.min(F.when(counts & (d > 0), d)).alias(f"p{j}")]
+    # Heaps meet in as many tasks as there are slices before they meet in one a criterion.
+    sliced = rows.groupBy("_slice").agg(*aggregates)
+    each = F.array(*(F.struct(F.lit(j).alias("j"), F.col(f"n{j}").alias("near"), F.col(f"p{j}").alias("positive")) for j in range(len(criteria))))
+    parts = sliced.select(F.explode(each).alias("x")).select("x.j", "x.positive", F.explode_outer("x.near").alias("near"))
+    return parts.groupBy("j").agg(smallest(F.col("near"), length).alias("near"), F.min("positive").alias("positive"))
+
+
+def batch(entities: DataFrame, criteria: Sequence[Criterion], k: int, block: int = 50) -> DataFrame:
+    """(query, rank, id, d): the k nearest entities of each criterion, which is named by its `name`. Any number of query
+    values of the same or other attributes; each `block` of them is one scan, with one heap a query."""
+    if k < 1 or not criteria:
+        raise ValueError("k must be positive, and there must be a query")
+    criteria = resolved(entities, criteria)
+    out: DataFrame | None = None
+    for a in range(0, len(criteria), block):
+        some = criteria[a : a + block]
+        near = nearest(entities.where("id is not null"), some, k)
+        name = F.get(F.array(*(F.lit(c.name) for c in some)), F.col("j")).alias("query")
+        rows = near.select(name, F.posexplode("near").alias("i", "x")).select("query", (F.col("i") + 1).cast("bigint").alias("rank"), "x.id", "x.d")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _counts(criterion: Criterion, d: Column) -> Column:
     """Whether an entity at that distance can be in the attribute's list. Sets without a common element aren't listed."""
     there = d.isNotNull() & ~F.isnan(d)
@@ -176,6 +238,8 @@ class Prepared:
     #: The lists (see `nearest`), where they were asked for, and the distance of each one's last entity.
     near: DataFrame | None = None
     last: tuple[float | None, ...] = ()
+    #: The weights as numbers, of each criterion by combination.
+    numbers: tuple[tuple[float | None, ...], ...] = ()
 
     def similarity(self, j: int, distance: Column) -> Column:
         c = self.criteria[j]
@@ -217,12 +281,9 @@ def prepare(entities: DataFrame, criteria: Sequence[Criterion], k: int, length:
         scores = _list_scores(near, p)
         values = (automatic_weight(scores.where(F.col("j") == j).select("s"), k).alias(str(j)) for j in automatic)
         made = entities.sparkSession.range(1).select(*values).first().asDict()
-    weights = []
-    for j, c in enumerate(criteria):
-        some = c.weights or ((made[str(j)],) if j in automatic else (1.0,))
-        columns = tuple(F.lit(w).cast("double") for w in some)
-        weights.append(columns * n if len(columns) == 1 else columns)
-    return replace(p, weights=tuple(weights))
+    numbers = [tuple(c.weights or ((made[str(j)],) if j in automatic else (1.0,))) for j, c in enumerate(criteria)]
+    numbers = tuple(x * n if len(x) == 1 else x for x in numbers)
+    return replace(p, weights=tuple(tuple(F.lit(w).cast("double") for w in x) for x in numbers), numbers=numbers)
 
 
 def _scored(entities: DataFrame, p: Prepared, extra: Sequence[str] = ()) -> DataFrame:
@@ -235,17 +296,21 @@ def _scored(entities: DataFrame, p: Prepared, extra: Sequence[str] = ()) -> Data
     return rows.withColumns({f"s{j}": p.similarity(j, F.col(f"d{j}")) for j in range(len(p.criteria))})
 
 
-def _best(rows: DataFrame, p: Prepared, k: int, by: Sequence[Column], score: Sequence[Column], exact: Sequence[Column]) -> DataFrame:
-    """The k first rows of each combination, ranked; ties by id."""
-    n = len(by)
-    if n == 1:
-        first = rows.withColumns({"combo": F.lit(0), "_by": F.round(by[0], 9), "score": score[0], "exact": exact[0]})
-        first = first.orderBy(F.desc("_by"), "id").limit(k)
-    else:
-        each = F.array(*(F.struct(F.lit(i).alias("combo"), F.round(by[i], 9).alias("_by"), score[i].alias("score"), exact[i].alias("exact")) for i in range(n)))
-        first = rows.withColumn("_c", F.explode(each)).select("*", "_c.*").drop("_c")
-    order = Window.partitionBy("combo").orderBy(F.desc("_by"), "id")
-    return first.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k).drop("_by")
+def _best(rows: DataFrame, p: Prepared, k: int, means: Sequence[Column]) -> DataFrame:
+    """The k first rows of each combination by its mean, ranked; ties by id. One scan, heaps of k in each task."""
+    if len(means) == 1:
+        first = rows.withColumns({"combo": F.lit(0), "score": means[0]}).orderBy(F.round("score", 9).desc(), "id").limit(k)
+        order = Window.partitionBy("combo").orderBy(F.round("score", 9).desc(), "id")
+        return first.withColumns({"exact": F.lit(True), "rank": F.row_number().over(order).cast("bigint")})
+    names = [c for c in rows.columns if c != "id"]
+    scored = rows.withColumns({f"_m{i}": mean for i, mean in enumerate(means)}).withColumn("_slice", F.spark_partition_id() % width(rows.sparkSession))
+    # Ids are distinct, so that of an item nothing behind the id decides its place.
+    item = lambda i: F.struct((-F.round(f"_m{i}", 9)).alias("by"), F.col("id"), F.col(f"_m{i}").alias("score"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    sliced = scored.groupBy("_slice").agg(*(smallest(item(i), k).alias(f"b{i}") for i in range(len(means))))
+    each = F.array(*(F.struct(F.lit(i).alias("combo"), F.col(f"b{i}").alias("best")) for i in range(len(means))))
+    parts = sliced.select(F.explode(each).alias("x")).select("x.combo", F.explode("x.best").alias("best"))
+    found = parts.groupBy("combo").agg(smallest(F.col("best"), k).alias("best")).select("combo", F.posexplode("best").alias("i", "x"))
+    return found.select("x.id", "x.row.*", "combo", "x.score", F.lit(True).alias("exact"), (F.col("i") + 1).cast("bigint").alias("rank"))
 
 
 def _mean(p: Prepared, combo: int, part) -> Column:
@@ -256,16 +321,27 @@ def _mean(p: Prepared, combo: int, part) -> Column:
 
 def singleton(entities: DataFrame, criterion: Criterion, k: int, extra: Sequence[str] = ()) -> DataFrame:
     """One attribute: its nearest entities, scored by similarity."""
-    return _singleton(entities, prepare(entities, [criterion], k), k, extra)
+    return _singleton(entities, criterion, k, extra)[0]
 
 
-def _singleton(entities: DataFrame, p: Prepared, k: int, extra: Sequence[str]) -> DataFrame:
-    rows = _scored(entities, p, extra)
-    first = rows.where(_counts(p.criteria[0], F.col("d0"))).orderBy("d0", "id").limit(k)
+def _singleton(entities: DataFrame, criterion: Criterion, k: int, extra: Sequence[str]) -> tuple[DataFrame, Prepared]:
+    """One scan gives the k nearest, and by the last of them the scale; only where all are at distance 0, another one
+    looks for the least positive distance."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    check_weights([criterion])
+    (criterion,) = resolved(entities, [criterion])
+    rows = entities.select("id", criterion.value.alias("v0"), *(F.col(f"`{e}`").alias(f"x_{e}") for e in extra))
+    rows = rows.withColumn("d0", criterion.between(F.col("v0"), criterion.literal())).where(_counts(criterion, F.col("d0")))
+    first = cut(rows.orderBy("d0", "id").limit(k))
+    scale = criterion.scale if criterion.scale is not None and criterion.scale > 0 else first.agg(F.max("d0")).first()[0]
+    if scale == 0:
+        scale = rows.where("d0 > 0").agg(F.min("d0")).first()[0]
+    numbers = (tuple(criterion.weights or (1.0,)),)
+    p = Prepared((criterion,), (F.lit(scale).cast("double"),), (tuple(F.lit(w).cast("double") for w in numbers[0]),), k, numbers=numbers)
     order = Window.orderBy("d0", "id")
-    n = len(p.weights[0])
-    out = first.withColumns({"rank": F.row_number().over(order).cast("bigint"), "score": F.col("s0"), "exact": F.lit(True)})
-    return out.withColumn("combo", F.explode(F.array(*(F.lit(i) for i in range(n)))))
+    out = first.withColumn("s0", p.similarity(0, F.col("d0"))).withColumns({"rank": F.row_number().over(order).cast("bigint"), "score": F.col("s0"), "exact": F.lit(True)})
+    return out.withColumn("combo", F.explode(F.array(*(F.lit(i) for i in range(len(numbers[0])))))), p
 
 
 def threshold(entities: DataFrame, criteria: Sequence[Criterion], k: int, extra: Sequence[str] = ()) -> tuple[DataFrame, Prepared]:
@@ -273,7 +349,7 @@ def threshold(entities: DataFrame, criteria: Sequence[Criterion], k: int, extra:
     p = prepare(entities, criteria, k)
     n = len(p.weights[0])
     means = [_mean(p, i, lambda j: F.col(f"s{j}")) for i in range(n)]
-    return _best(_scored(entities, p, extra), p, k, means, means, [F.lit(True)] * n), p
+    return _best(_scored(entities, p, extra), p, k, means), p
 
 
 def _list_scores(near: DataFrame, p: Prepared) -> DataFrame:
@@ -340,8 +416,7 @@ def rank(entities: DataFrame, criteria: Sequence[Criterion], k: int, algorithm:
     """
     entities = entities.where("id is not null")
     if len(criteria) == 1:
-        p = prepare(entities, criteria, k)
-        return _singleton(entities, p, k, extra), p
+        return _singleton(entities, criteria[0], k, extra)
     run = {"threshold": threshold, "partial_random_access": partial_random_access, "no_random_access": no_random_access}
     if algorithm not in run:
         raise ValueError(f"unknown algorithm {algorithm}")

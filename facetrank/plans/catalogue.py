@@ -294,6 +294,16 @@ def list_prefix(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.listed(entities, _TWO[0].criterion(), 500).select("id", F.round("d", 6).alias("d"))
 
 
+_PRICES = (10_000, 120_000.5, 450_000)
+
+
+def batch_knn(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest orders of several prices and a date at once."""
+    entities = RANKED["ta_two"].rows(spark, folder)
+    asked = [replace(_TWO[0], name=str(x), query=x, weights=None).criterion() for x in _PRICES] + [_TWO[1].criterion()]
+    return ranking.batch(entities, asked, 7).select("query", "rank", "id", F.round("d", 6).alias("d"))
+
+
 def sim_matrix(spark: SparkSession, folder: str) -> DataFrame:
     rows, prepared = RANKED["ta_two"].run(spark, folder)
     return ranking.similarity_matrix(rows, prepared).select("id_l", "id_r", F.round("score", 6).alias("score"))
@@ -599,7 +609,7 @@ def results_flat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _PLAIN = (
-    spatial_haversine, list_prefix, sim_matrix, sql_q1, sql_between_filter, json_filter, pivot_embed, pivot_search, pivot_search_bounded,
+    spatial_haversine, list_prefix, batch_knn, sim_matrix, sql_q1, sql_between_filter, json_filter, pivot_embed, pivot_search, pivot_search_bounded,
     pivot_auto, word2vec, doc_similarity, keyword_freq, keyword_share, rank_align, rank_compare, catalog, bounding_box, histogram, qgram_sets,
     number_statistics, filter_json, score_stats, nra_rescored, points_in_box, points_nearest, news_threshold, news_pivot, results_flat,
 )
@@ -613,6 +623,11 @@ full join (select id, score from ({_MIXED.sql().replace("round(score, 6)", "roun
 
 ORACLE: dict[str, str] = {name: one.sql() for name, one in RANKED.items()} | {
     "news_threshold": f"select combo, rank, id, score, persons_score, position_score, positive_sentiment_score, negative_sentiment::varchar negative_sentiment from ({_NEWS.sql()})",
+    "batch_knn": " union all ".join(
+        f"""select '{name}' as query, row_number() over (order by d, id) as rank, id, round(d, 6) d
+from (select o_orderkey::varchar id, {f.sql_distance} d from orders order by d, id limit 7)"""
+        for name, f in [(str(x), number("", "o_totalprice", x)) for x in _PRICES] + [("day", _TWO[1])]
+    ),
     "results_flat": " union all ".join(
         f"select rank, id, '{n}' as name, score, {f.name}_score attribute_score from ({RANKED['ta_two'].sql()})" for n, f in zip(_SQL_NAMES, _TWO)
     ),

@@ -53,6 +53,16 @@ class Response:
     def flat(self) -> DataFrame:
         return sinks.flat(self.rows, self.names, self.kinds, self.extra)
 
+    @property
+    def weighted(self) -> DataFrame:
+        """Flat rows with the weights of their combination in front."""
+        return sinks.weighted(self.flat, self.prepared.numbers) if self.prepared else self.flat
+
+    @property
+    def table(self) -> str:
+        """A text table, with the weights beside the attributes' names."""
+        return sinks.as_table(self.flat, weights=dict(zip(self.names, self.prepared.numbers)) if self.prepared else None)
+
     @property
     def matrix(self) -> DataFrame | None:
         return ranking.similarity_matrix(self.rows, self.prepared) if self.prepared else None

@@ -26,6 +26,12 @@ def flat(rows: DataFrame, names: Sequence[str], kinds: Sequence[str], extra: Seq
     return rows.select("combo", "rank", F.col("score"), "id", *facets, *(F.col(f"x_{e}").cast("string").alias(e) for e in extra))
 
 
+def weighted(flat_rows: DataFrame, weights: Sequence[Sequence[float]]) -> DataFrame:
+    """Flat rows with their combination's weights (of each attribute, by combination) as a text in place of its number."""
+    texts = ["[" + ", ".join("" if w[i] is None else number_text(w[i]) for w in weights) + "]" for i in range(len(weights[0]))]
+    return flat_rows.select(F.get(F.array(*(F.lit(t) for t in texts)), F.col("combo")).alias("weights"), *(F.col(f"`{c}`") for c in flat_rows.columns if c != "combo"))
+
+
 def write_json(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
 
@@ -45,9 +51,11 @@ def number_text(x: float) -> str:
     return f"{whole}.{part.rstrip('0') or '0'}"
 
 
-def as_table(flat_rows: DataFrame, wrap: int = 40) -> str:
-    """A text table of at most some k rows a combination; long values are wrapped."""
-    columns = flat_rows.columns
+def as_table(flat_rows: DataFrame, wrap: int = 40, weights: dict[str, Sequence[float]] | None = None) -> str:
+    """A text table of at most some k rows a combination; long values are wrapped. With weights, those of an attribute
+    (by combination) stand beside its name."""
+    beside = {f"{a}Score": "".join(f" {number_text(w)}" for w in some if w is not None) for a, some in (weights or {}).items()}
+    columns = [c + beside.get(c, "") for c in flat_rows.columns]
     rows = [["" if v is None else number_text(v) if isinstance(v, float) else str(v) for v in r] for r in flat_rows.orderBy("combo", "rank").collect()]
     pieces = [[[v[i : i + wrap] for i in range(0, len(v), wrap)] or [""] for v in r] for r in [columns, *rows]]
     widths = [max(len(p) for r in pieces for p in r[c]) for c in range(len(columns))]

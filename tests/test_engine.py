@@ -345,3 +345,14 @@ def test_a_search_that_takes_too_long_is_cancelled(spark):
     engine.timeout = 500
     with pytest.raises(TimeoutError):
         engine.search({"k": 1, "queries": [{"column": "x", "value": 3}]})
+
+
+def test_weights_beside_results_and_exported_embedding(spark, engine, tmp_path):
+    queries = [{"column": "price", "value": 1, "weights": [0.5, 0.25]}, {"column": "words", "value": ["a"], "weights": [1, 0.75]}]
+    answer = engine.search({"k": 1, "queries": queries})
+    assert answer.weighted.columns == ["weights", "rank", "score", "id", "priceVal", "priceScore", "wordsVal", "wordsScore"]
+    assert {r["weights"] for r in answer.weighted.collect()} == {"[0.5, 1.0]", "[0.25, 0.75]"} and "priceScore 0.5 0.25" in answer.table
+    rows = spark.createDataFrame([("a", [3.0]), ("b", None)], "id string, v array<double>")
+    metric = pivot.Metric("v", "manhattan", 1.0, ((0.0,), (9.0,)), ("pd_v_0", "pd_v_1"))
+    pivot.exported(rows, [metric], str(tmp_path / "e"))
+    assert {tuple(r) for r in spark.read.options(sep=";", header=True).csv(str(tmp_path / "e")).collect()} == {("a", "3.0,6.0"), ("b", ",")}
