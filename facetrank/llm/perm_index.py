@@ -28,7 +28,7 @@ PREFIX = 5
 DENSITY = 8
 PIVOTS = (32, 8192)
 #: Most vectors of a file that one task compares with each other.
-FILE = 4000
+FILE = 2000
 #: Share of a file's vectors that are compared exactly, and how many they are at least.
 RERANK, RERANK_LEAST = 0.1, 64
 
@@ -68,21 +68,24 @@ def _neighbours(ids: np.ndarray, vectors: np.ndarray, prefixes: np.ndarray, left
     size = len(right)
     compared = size if rerank >= 1 else min(size, max(RERANK_LEAST, k + 1, int(np.ceil(rerank * size))))
     ones = _ones(prefixes) if compared < size else None
-    block = max(1, 2_000_000 // (size + compared * vectors.shape[1]))
+    squares = (vectors**2).sum(axis=1)
+    others = vectors[right]
+    slack = 1e-9 * squares.max()
+    block = max(1, 1_000_000 // size)
     for a in range(0, len(left), block):
         some = left[a : a + block]
-        if ones is None:
-            at, of = np.divmod(np.arange(len(some) * size), size)
-        else:
+        # The distances of a block are one matrix product, which costs less than picking the candidates out of it.
+        d = squares[right] + squares[some][:, None] - 2 * vectors[some] @ others.T
+        d[some[:, None] == right[None]] = np.inf
+        if ones is not None:
             shared = ones[some] @ ones[right].T
-            # Of equal footrule distances all are compared.
-            least = np.partition(shared, size - compared, axis=1)[:, size - compared : size - compared + 1]
-            at, of = np.nonzero(shared >= least)
+            # Of equal footrule distances all are candidates.
+            d[shared < np.partition(shared, size - compared, axis=1)[:, size - compared : size - compared + 1]] = np.inf
+        # Products round: what may be among the k nearest candidates is measured again by differences.
+        n = min(k, size)
+        at, of = np.nonzero(np.isfinite(d) & (d <= np.partition(d, n - 1, axis=1)[:, n - 1 : n] + slack))
         q, c = some[at], right[of]
-        q, c = q[q != c], c[q != c]
-        exact = np.empty(len(q))
-        for b in range(0, len(q), 20_000):
-            exact[b : b + 20_000] = np.sqrt(((vectors[q[b : b + 20_000]] - vectors[c[b : b + 20_000]]) ** 2).sum(axis=1))
+        exact = np.sqrt(((vectors[q] - vectors[c]) ** 2).sum(axis=1))
         order = np.lexsort((c, exact, q))
         q, c, exact = q[order], c[order], exact[order]
         first = np.arange(len(q)) - np.searchsorted(q, q) < k
