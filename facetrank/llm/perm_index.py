@@ -54,11 +54,13 @@ def _ones(prefixes: np.ndarray) -> np.ndarray:
     """Of each prefix, for each pivot and each length t, whether the pivot is among the first t: the footrule distance
     of two prefixes, where a missing pivot counts as one behind the last, falls by 2 for each of these they share."""
     n, length = prefixes.shape
-    pivots, column = np.unique(prefixes, return_inverse=True)
-    column = column.reshape(n, length)
-    out = np.zeros((n, len(pivots), length), dtype=np.float32)
+    _, column, count = np.unique(prefixes, return_inverse=True, return_counts=True)
+    # A pivot of one prefix only is shared by none.
+    place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column.reshape(n, length)]
+    out = np.zeros((n, int((count > 1).sum()), length), dtype=np.float32)
     for i in range(length):
-        out[np.arange(n), column[:, i], i:] = 1
+        some = np.flatnonzero(place[:, i] >= 0)
+        out[some, place[some, i], i:] = 1
     return out.reshape(n, -1)
 
 

@@ -58,3 +58,28 @@ def test_every_vector_of_a_long_file_is_compared(spark):
     vectors = {f"t{i:04}": x for i, x in enumerate(rng.normal(size=(1500, 8)).round(3))}
     rows = spark.createDataFrame([(t, v.tolist()) for t, v in vectors.items()], SCHEMA)
     assert {tuple(r) for r in p.near_terms(rows, 3, 1.5, 8, pivots=1).collect()} == brute(vectors, 3, 1.5)
+
+
+def test_footrule_by_shared_ones():
+    rng = np.random.default_rng(2)
+    prefixes = np.array([rng.choice(9, 4, replace=False) for _ in range(40)], dtype=np.int32)
+    ones = p._ones(prefixes)
+
+    def footrule(a, b):
+        place = lambda x, q: list(x).index(q) if q in x else 4
+        return sum(abs(place(a, q) - place(b, q)) for q in set(a) | set(b))
+
+    for i in range(0, 40, 3):
+        for j in range(40):
+            if i != j:
+                most = 2 * sum(4 - t for t in range(4))
+                assert footrule(list(prefixes[i]), list(prefixes[j])) == most - 2 * ones[i] @ ones[j]
+
+
+def test_a_small_share_still_finds_most(spark, monkeypatch):
+    monkeypatch.setattr(p, "RERANK_LEAST", 8)
+    vectors = clustered(n=800)
+    rows = spark.createDataFrame([(t, v.tolist()) for t, v in vectors.items()], SCHEMA)
+    want = brute(vectors, 3, 1.0)
+    some, whole = ({tuple(r) for r in p.near_terms(rows, 3, 1.0, 8, pivots=20, rerank=s).collect()} for s in (0.05, 1))
+    assert len(some & want) >= 0.9 * len(want) and len(whole & want) >= len(some & want)
