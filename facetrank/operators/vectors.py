@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A dictionary is broadcast only up to that many terms.
-BROADCAST_TERMS = 100_000
+#: A dictionary is broadcast only up to that many bytes of numbers.
+BROADCAST_BYTES = 64 << 20
 
 
 def keyword_vectors(rows: DataFrame, dictionary: DataFrame, keywords: str = "keywords", size: int | None = None) -> DataFrame:
@@ -19,7 +19,8 @@ def keyword_vectors(rows: DataFrame, dictionary: DataFrame, keywords: str = "key
     """
     size = size or dictionary.agg(F.mode(F.size("vector"), True)).first()[0] or 0
     terms = dictionary.where(F.col("term").isNotNull() & (F.size("vector") == size)).groupBy(F.lower("term").alias("word")).agg(F.max("vector").alias("vector"))
-    if dictionary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+    most = BROADCAST_BYTES // (8 * max(size, 1) + 64)
+    if dictionary.limit(most + 1).count() <= most:
         terms = F.broadcast(terms)
     words = (
         rows.where("id is not null")

@@ -439,7 +439,7 @@ def word2vec(spark: SparkSession, folder: str) -> DataFrame:
 
 def doc_similarity(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose sets of words are most like that of a given text."""
-    words = lambda c: F.array_distinct(F.split(F.lower(c), "[^a-z]+"))
+    words = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+"))
     docs = spread(table(spark, folder, "documents").select("doc_id", "text")).where("text is not null and text <> ''")
     wanted = "fix the pending resolver in cache and update the tests of the nested worker".split()
     entities = docs.select(F.col("doc_id").cast("string").alias("id"), F.array_remove(words(F.col("text")), "").alias("words"))
@@ -660,7 +660,7 @@ cells as (select id, i, sum(v[i] * share) x from shares join dict using (term),
 select id, round(sum(x), 5) total, round(max(x), 5) most from cells group by id""",
     "doc_similarity": """
 with d as (
-  select doc_id::varchar id, list_filter(list_distinct(regexp_split_to_array(lower(text), '[^a-z]+')), lambda w: w <> '') w
+  select doc_id::varchar id, list_filter(list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')), lambda w: w <> '') w
   from documents where text is not null and text <> ''
 ),
 q as (select list_distinct(string_split('fix the pending resolver in cache and update the tests of the nested worker', ' ')) q),
