@@ -321,8 +321,13 @@ select a.id id_l, b.id id_r, round((
 from top a, top b"""
 
 
+#: Milliseconds that a search of these queries may take: they are run over whole tables of any size, not by a user who waits.
+PATIENCE = 3_600_000
+
+
 def _order_engine(spark: SparkSession, folder: str) -> Engine:
     engine = Engine(spark)
+    engine.timeout = PATIENCE
     engine.mount(
         {
             "sources": [{"name": "files", "type": "parquet", "directory": folder}],
@@ -548,6 +553,7 @@ NEWS = {
 
 def news_engine(spark: SparkSession, folder: str) -> Engine:
     engine = Engine(spark)
+    engine.timeout = PATIENCE
     engine.mount(NEWS | {"sources": [{"name": "files", "type": "parquet", "directory": folder}]})
     return engine
 
